@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe_codec, quality, sharding, token_counts
+from ledgerline.llm import bpe_codec, neardup, quality, sharding, substring, token_counts
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -30,14 +30,23 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words")
 
 
+def op4_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     return sharding.shard(rows, [1.0] * 16, grown=1.0).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op6_rendezvous_shards)
+    f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op4_fingerprint_index, op6_rendezvous_shards, op8_tensored_minhash)
 }
 
 ORACLE_SQL: dict[str, str] = {}
