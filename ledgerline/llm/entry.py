@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe_codec, neardup, quality, sharding, substring, token_counts
+from ledgerline.llm import ann, bpe_codec, neardup, packing, quality, sharding, substring, token_counts, toxicity, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -35,18 +35,42 @@ def op4_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(warc.plan(table(spark, sf_dir, "pages")), warc.archive_folder(spark))
+    return warc.read(manifest, payloads=False).filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     return sharding.shard(rows, [1.0] * 16, grown=1.0).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op9_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, weights)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op4_fingerprint_index, op6_rendezvous_shards, op8_tensored_minhash)
+    f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op4_fingerprint_index, op5_warc_salvage, op6_rendezvous_shards, op7_dynamic_packing, op8_tensored_minhash, op9_ftrl_toxicity, op10_collision_counting)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -20,12 +20,13 @@ grouped by their own id.
 
 Defined results: a null or empty text has no words, nothing removed and an empty rest; texts under
 13 words keep all; rows with one id repeated are one document each and not earlier than each other;
-a null id is left alone; only id and text are read; an empty table gives an empty table.
+a null id is left alone; only id, text and carried columns are read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -93,8 +94,11 @@ def _window_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(batches, "hi bigint, lo bigint, doc_id bigint, at int")
 
 
-def _cut_rows(docs: DataFrame, id_type: str) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text, the kept words joined by a space."""
+def _cut_rows(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """doc_id, the carried columns, n_words, n_removed and kept_text, the kept words joined by a space.
+
+    docs: doc_id, raw, starts and the carried columns, in this order.
+    """
 
     def batches(it):
         for batch in it:
@@ -111,9 +115,10 @@ def _cut_rows(docs: DataFrame, id_type: str) -> DataFrame:
                     else:
                         gone.append(0)
                     kept.append(b" ".join(words).decode("utf-8"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[3:], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", *carry, "n_words", "n_removed", "kept_text"])
 
-    return docs.mapInArrow(batches, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_text string")
+    carried = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    return docs.mapInArrow(batches, ", ".join(["doc_id bigint", *carried, "n_words bigint", "n_removed bigint", "kept_text string"]))
 
 
 class FingerprintIndex:
@@ -144,14 +149,14 @@ class FingerprintIndex:
             self.scratch.drop(*(x[1] for x in old))
 
     def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
-        """doc_id, n_words, n_removed and kept_text of the batch (doc_id, raw), which joins the index.
+        """doc_id, n_words, n_removed and kept_text of the batch (doc_id, raw, others), which joins the index.
 
         history holds the texts of the documents in the index; only those that share a fingerprint with
         the batch go any further.
         """
         self.compact()
         older = [x[2] for x in self.levels]
-        new = self._write(_fingerprint_rows(batch), 0)
+        new = self._write(_fingerprint_rows(batch.select("doc_id", "raw")), 0)
         own = new.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         if older:
             past = older[0]
@@ -163,16 +168,19 @@ class FingerprintIndex:
         else:
             holders = new.join(own.filter("first < last").select("fp"), "fp", "left_semi")
         shared = holders.groupBy("doc_id").agg(F.collect_set("fp").alias("shared"))
-        texts = batch if history is None or not older else batch.unionAll(history)
+        texts = batch.select("doc_id", "raw")
+        if history is not None and older:
+            texts = texts.unionAll(history.select("doc_id", "raw"))
         windows = self.scratch.keep(_window_rows(texts.join(shared, "doc_id").select("doc_id", "raw", "shared")), f"windows-{self.written}")
         first = windows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hi", "lo", "first")
         starts = windows.join(first, ["hi", "lo"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-        return _cut_rows(batch.join(starts, "doc_id", "left").select("doc_id", "raw", "starts"), "bigint")
+        carry = [c for c in batch.columns if c not in ("doc_id", "raw")]
+        return _cut_rows(batch.join(starts, "doc_id", "left").select("doc_id", "raw", "starts", *carry), carry)
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, fanout: int = 2) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text of each document, the table taken as batches in the order of ids."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, fanout: int = 2, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the carried columns, n_words, n_removed and kept_text of each document, the table taken as batches in the order of ids."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"), *carry)
     cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     cuts = sorted(set(cuts))
     bounds = [None, *cuts, None]
