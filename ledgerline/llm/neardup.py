@@ -9,12 +9,17 @@ table key joins one group of either collection, so groups**2 tables of 2 * width
 Classes. Texts with equal shingle sets form a class, represented by its smallest id; only
 representatives get keys. Links between classes are searched in this order:
 
-1. In every bucket each member is compared with the bucket's smallest member. That alone joins a
-   group of near copies, at one comparison a member and bucket.
-2. Components are formed. Pairs of one bucket whose members are in different components are then
-   compared, all of them. No pair in one component is ever made, and no bucket is capped.
-
-A comparison needs sizes that allow the similarity, and then counts common shingles on full sets.
+1. In every bucket each member is compared with the bucket's smallest member. That alone joins most
+   groups of near copies, at one comparison a member and bucket.
+2. Components are formed. Of the documents in buckets that still hold two components, those shingles
+   are counted that no other such document has. They can be in no link, so size and count bound the
+   similarity to any other document, exactly. Who cannot reach the threshold is done.
+3. The others are compared with the member of their bucket that has the least share of such shingles,
+   mostly what the copies were made from. Components are formed again.
+4. All pairs of a bucket in different components whose bound allows a link are compared. No bucket is
+   capped; pairs within a component, and pairs that their bounds exclude, are never made.
+
+A comparison counts common shingles on full sets.
 Sets are kept only for members of buckets with two classes or more.
 
 Defined results: a text without words has an empty set, 0 shingles and its own component; fewer than
@@ -115,9 +120,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = scratch.keep(keyed.select("key", "doc_id", "n").join(shared, "key"), "buckets")
     sets = scratch.keep(full_sets(texts.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), shingle), "sets")
 
-    def close(n: Column, m: Column) -> Column:
-        """Sizes that allow the similarity."""
-        return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    def possible(n: Column, m: Column, own_n: Column = F.lit(0), own_m: Column = F.lit(0)) -> Column:
+        """Sizes, and counts of shingles that are no other's, that allow the similarity."""
+        most = F.least(n - own_n, m - own_m)
+        return most * 100 >= (n + m - most) * percent
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """(a, b) pairs whose full sets are similar enough."""
@@ -126,20 +132,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         common = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(left, "a").join(right, "b").withColumn("c", common.cast("long")).filter(F.col("c") * 100 >= (F.size("sa") + F.size("sb") - F.col("c")) * percent).select("a", "b")
 
-    stars = buckets.filter((F.col("doc_id") != F.col("hub.doc_id")) & close(F.col("n"), F.col("hub.n"))).select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).distinct()
-    links = scratch.keep(confirmed(stars), "stars")
-    first = scratch.keep(components(links, scratch, "first"), "labels")
-    # Buckets that still hold two components or more, and their members' pairs across components.
-    labelled = buckets.select("key", "doc_id", "n").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = scratch.keep(labelled.join(mixed, "key", "left_semi"), "rest")
-    other = rest.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-    across = rest.withColumnRenamed("doc_id", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & close(F.col("n"), F.col("m")))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = confirmed(across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    every = scratch.keep(links.unionByName(more), "links")
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of buckets with two components or more, with their components."""
+        found = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        mixed = found.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        return found.join(mixed, "key", "left_semi")
+
+    tried = scratch.keep(ordered(buckets.filter((F.col("doc_id") != F.col("hub.doc_id")) & possible(F.col("n"), F.col("hub.n"))).select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"))), "tried")
+    links = scratch.keep(confirmed(tried), "stars")
+    rest = scratch.keep(labelled(buckets.select("key", "doc_id", "n"), components(links, scratch, "first")), "rest")
+    # Shingles that one document of the rest has alone.
+    held = sets.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
+    alone = held.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c")).filter("c = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    able = rest.join(alone, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
+    able = scratch.keep(able, "able")
+    purest = able.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "doc_id", "n", "own", "component")).alias("hub"))
+    again = able.join(purest, "key").filter((F.col("component") != F.col("hub.component")) & possible(F.col("n"), F.col("hub.n"), F.col("own"), F.col("hub.own")))
+    again = scratch.keep(ordered(again.select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"))).join(tried, ["a", "b"], "left_anti"), "again")
+    links = scratch.keep(links.unionByName(confirmed(again)), "links")
+    left = scratch.keep(labelled(able.drop("component"), components(links, scratch, "second")), "left")
+    other = left.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("own").alias("own_m"), F.col("component").alias("d"))
+    across = left.withColumnRenamed("doc_id", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & possible(F.col("n"), F.col("m"), F.col("own"), F.col("own_m")))
+    more = confirmed(across.select("a", "b").distinct().join(tried.unionAll(again), ["a", "b"], "left_anti"))
+    every = scratch.keep(links.unionByName(more), "every")
     final = scratch.keep(components(every, scratch, "final"), "components")
-    scratch.drop("buckets", "sets", "rest", "stars", "labels", "links")
+    scratch.drop("buckets", "sets", "tried", "stars", "rest", "able", "again", "links", "left", "every")
     of_class = classes.select("class_key", F.col("r.doc_id").alias("node")).join(final, "node", "left").select("class_key", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "class_key").join(of_class, "class_key")
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
