@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,3 +36,8 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of queries that are done; it does so once their objects are collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()

@@ -11,7 +11,7 @@ A batch is handled as follows.
 3. The new run is merge-joined with the historical runs. What is left is each fingerprint of the
    batch that has two documents or more, with its documents in the batch and in history.
 4. Verification: the texts of these documents are read again, and each window whose fingerprint is
-   among the document's shared ones is given a 128-bit hash of its 13 words in full. A window whose
+   among the document's shared ones is given a 96-bit hash of its 13 words in full. A window whose
    words also start in an earlier document (less id; all of history is earlier) is removed.
 
 Batches come in the order of ids: the query cuts the table at quantiles of doc_id. A hot passage is
@@ -30,6 +30,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,42 +38,66 @@ from ledgerline.llm import words as W
 from ledgerline.llm.scratch import Scratch
 
 WINDOW, GRAM = 13, 5
-
-
-def fingerprints(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """The fingerprint of each window of word hashes, in order."""
-    grams = W.runs(h, gram)
-    n = len(h) - window + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = grams[:n].copy()
-    for j in range(1, window - gram + 1):
-        np.minimum(out, grams[j : j + n], out=out)
-    return out
-
-
-def covered(n_words: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
+#: Batches that a whole table is taken in.
+BATCHES = 2
+
+
+class Block:
+    """The words of several texts in a row, and which 13-word windows lie in one text."""
+
+    def __init__(self, texts: list[bytes | None]):
+        words = [W.split(x) for x in texts]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        h = W.hashes([w for own in words for w in own])
+        n = max(len(h) - WINDOW + 1, 0)
+        ends = np.repeat(self.first + self.sizes, self.sizes)[:n]
+        #: Places of windows, and the text that each is in.
+        self.at = np.flatnonzero(np.arange(n) + WINDOW <= ends)
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)[self.at]
+        self.grams = W.runs(h, GRAM)
+
+    def fingerprints(self) -> np.ndarray:
+        """The fingerprint of each window."""
+        out = self.grams[self.at]
+        for j in range(1, WINDOW - GRAM + 1):
+            np.minimum(out, self.grams[self.at + j], out=out)
+        return out
+
+    def window_hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit and a further 32-bit hash of the words of chosen windows; runs at 0, 4 and 8 hold all 13."""
+        a, b, c = (self.grams[self.at[chosen] + j] for j in (0, WINDOW // 2 - 2, WINDOW - GRAM))
+        high = W.mix(W.mix(W.mix(a) + b) + c)
+        low = W.mix(a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xD6E8FEB86659FD93) + c)
+        return high.view(np.int64), (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _blocks(batch: pa.RecordBatch, rows: int = 256):
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
     """Which words lie in a window that begins at one of the starts."""
     edge = np.zeros(n_words + 1, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, n_words), -1)
+    np.add.at(edge, np.minimum(starts + WINDOW, n_words), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def _fingerprint_rows(docs: DataFrame) -> DataFrame:
+    """(fp, doc_id), once for each stretch of windows with one fingerprint."""
+
     def batches(it):
         for batch in it:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, found = [], []
-                for i, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    if i is not None and len(f := np.unique(fingerprints(W.hashes(W.split(x.as_py()))))):
-                        ids.append(np.full(len(f), i, np.int64))
-                        found.append(f.view(np.int64))
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], names=["fp", "doc_id"])
+            for part in _blocks(batch):
+                block = Block(part.column(1).to_pylist())
+                fp = block.fingerprints()
+                if len(fp):
+                    new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (block.owner[1:] != block.owner[:-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), part.column(0).take(pa.array(block.owner[new]))], names=["fp", "doc_id"])
 
-    return docs.mapInArrow(batches, "fp bigint, doc_id bigint")
+    return docs.filter("doc_id is not null").mapInArrow(batches, "fp bigint, doc_id bigint")
 
 
 def _window_rows(docs: DataFrame) -> DataFrame:
@@ -80,18 +105,19 @@ def _window_rows(docs: DataFrame) -> DataFrame:
 
     def batches(it):
         for batch in it:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                out: list[tuple] = []
-                for i, x, shared in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
-                    h = W.hashes(W.split(x.as_py()))
-                    hit = np.flatnonzero(np.isin(fingerprints(h), shared.values.to_numpy(zero_copy_only=False).view(np.uint64)))
-                    if len(hit):
-                        out.append((W.runs(h, WINDOW, 1)[hit].view(np.int64), W.runs(h, WINDOW, 2)[hit].view(np.int64), np.full(len(hit), i, np.int64), hit.astype(np.int32)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["hi", "lo", "doc_id", "at"])
+            for part in _blocks(batch):
+                block = Block(part.column(1).to_pylist())
+                shared = part.column(2)
+                owners = np.repeat(np.arange(part.num_rows), pc.list_value_length(shared).to_numpy(zero_copy_only=False))
+                salt = np.uint64(0x9E3779B97F4A7C15)
+                wanted = W.mix(shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + owners.astype(np.uint64) * salt)
+                hit = np.flatnonzero(np.isin(W.mix(block.fingerprints() + block.owner.astype(np.uint64) * salt), wanted))
+                if len(hit):
+                    high, low = block.window_hashes(hit)
+                    at = (block.at[hit] - block.first[block.owner[hit]]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), part.column(0).take(pa.array(block.owner[hit])), pa.array(at)], names=["hi", "lo", "doc_id", "at"])
 
-    return docs.mapInArrow(batches, "hi bigint, lo bigint, doc_id bigint, at int")
+    return docs.mapInArrow(batches, "hi bigint, lo int, doc_id bigint, at int")
 
 
 def _cut_rows(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -171,14 +197,19 @@ class FingerprintIndex:
         texts = batch.select("doc_id", "raw")
         if history is not None and older:
             texts = texts.unionAll(history.select("doc_id", "raw"))
-        windows = self.scratch.keep(_window_rows(texts.join(shared, "doc_id").select("doc_id", "raw", "shared")), f"windows-{self.written}")
+        name = f"{self.written}"
+        windows = self.scratch.keep(_window_rows(texts.join(shared, "doc_id").select("doc_id", "raw", "shared")), f"windows-{name}")
+        self.scratch.release()
         first = windows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hi", "lo", "first")
         starts = windows.join(first, ["hi", "lo"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+        starts = self.scratch.keep(starts, f"starts-{name}")
+        self.scratch.drop(f"windows-{name}")
+        self.scratch.release()
         carry = [c for c in batch.columns if c not in ("doc_id", "raw")]
         return _cut_rows(batch.join(starts, "doc_id", "left").select("doc_id", "raw", "starts", *carry), carry)
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, fanout: int = 2, carry: Sequence[str] = ()) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fanout: int = 2, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, the carried columns, n_words, n_removed and kept_text of each document, the table taken as batches in the order of ids."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"), *carry)
     cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
