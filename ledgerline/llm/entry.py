@@ -73,4 +73,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op4_fingerprint_index, op5_warc_salvage, op6_rendezvous_shards, op7_dynamic_packing, op8_tensored_minhash, op9_ftrl_toxicity, op10_collision_counting)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+W = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+STOPS = ", ".join(f"'{w}'" for w in quality.STOP_FORMS)
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": rf"""
+WITH a AS (SELECT doc_id, coalesce(text, '') AS text, {W} AS w FROM documents),
+b AS (SELECT *, len(w) AS n_words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM a),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM b, range(1, n_words - 1) r(i)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM d, range(0, 3) s(k) GROUP BY doc_id),
+m AS (SELECT doc_id, n_words::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, len(list_filter(w, lambda x: x IN ({STOPS})))::BIGINT AS n_stop_words
+  FROM b LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1)::DOUBLE AS nw FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars / nw BETWEEN 2 AND 12 AND n_symbols / nw <= 0.2 AND n_stop_words / nw >= 0.02 AND n_dup_lines / greatest(n_lines, 1)::DOUBLE <= 0.5 AS kept, n_lines, n_stop_words FROM f""",
+    "op4_fingerprint_index": rf"""
+WITH a AS (SELECT doc_id, {W} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM a, range(1, len(w) - 11) r(i)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS lo FROM g) WHERE lo < doc_id),
+c AS (SELECT doc_id, list(DISTINCT i + k) AS cut FROM d, range(0, 13) s(k) GROUP BY doc_id),
+e AS (SELECT doc_id, i, w[i] AS x FROM a, range(1, len(w) + 1) r(i)),
+k AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM e LEFT JOIN c USING (doc_id) WHERE cut IS NULL OR NOT list_contains(cut, i) GROUP BY e.doc_id)
+SELECT a.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM a LEFT JOIN k USING (doc_id)""",
+    "op5_warc_salvage": """
+WITH a AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages), b AS (SELECT page_id, octet_length(p) AS n, sha1(p) AS h FROM a),
+l AS (SELECT h, max(page_id) AS top FROM b GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM b JOIN l USING (h)""",
+    "op8_tensored_minhash": rf"""
+WITH RECURSIVE a AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS t FROM a, range(1, greatest(len(w) - 3, least(len(w), 1) + 1)) r(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y USING (t) JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * count(*) >= 85 * (nx.n + ny.n - count(*))),
+c AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT l.b, c.o FROM c JOIN l ON l.a = c.doc_id WHERE c.o < l.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(c.o) AS component_id, d.doc_id = min(c.o) AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n""",
+}
