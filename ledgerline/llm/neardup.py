@@ -17,7 +17,8 @@ representatives get keys. Links between classes are searched in this order:
 3. The others are compared with the member of their bucket that has the least share of such shingles,
    mostly what the copies were made from. Components are formed again.
 4. All pairs of a bucket in different components whose bound allows a link are compared. No bucket is
-   capped; pairs within a component, and pairs that their bounds exclude, are never made.
+   capped; pairs within a component, and pairs that their bounds exclude, are never made, and a pair
+   that shares several tables is made in the first of them only.
 
 A comparison counts common shingles on full sets.
 Sets are kept only for members of buckets with two classes or more.
@@ -113,11 +114,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = scratch.keep(sign(texts, shingle, groups, width), "signed")
     classes = signed.groupBy("class_key").agg(F.min(F.struct("doc_id", "n_shingles", "halves")).alias("r"))
     members = classes.filter("r.halves is not null and r.doc_id is not null").select(F.col("r.doc_id").alias("doc_id"), F.col("r.n_shingles").alias("n"), F.col("r.halves").alias("halves"))
-    keys = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: F.transform(F.sequence(F.lit(groups), F.lit(2 * groups - 1)), lambda j: F.xxhash64(i, j, F.get("halves", i), F.get("halves", j))))))
-    keyed = members.select(keys.alias("key"), "doc_id", "n", "halves")
+    keys = F.posexplode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: F.transform(F.sequence(F.lit(groups), F.lit(2 * groups - 1)), lambda j: F.xxhash64(i, j, F.get("halves", i), F.get("halves", j))))))
+    keyed = members.select(keys.alias("table", "key"), "doc_id", "n")
     shared = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "hub")
     # Members of buckets with two classes or more; the others need nothing further.
-    buckets = scratch.keep(keyed.select("key", "doc_id", "n").join(shared, "key"), "buckets")
+    buckets = scratch.keep(keyed.select("key", "table", "doc_id", "n").join(shared, "key"), "buckets")
     sets = scratch.keep(full_sets(texts.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), shingle), "sets")
 
     def possible(n: Column, m: Column, own_n: Column = F.lit(0), own_m: Column = F.lit(0)) -> Column:
@@ -143,7 +144,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     tried = scratch.keep(ordered(buckets.filter((F.col("doc_id") != F.col("hub.doc_id")) & possible(F.col("n"), F.col("hub.n"))).select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"))), "tried")
     links = scratch.keep(confirmed(tried), "stars")
-    rest = scratch.keep(labelled(buckets.select("key", "doc_id", "n"), components(links, scratch, "first")), "rest")
+    rest = scratch.keep(labelled(buckets.select("key", "table", "doc_id", "n"), components(links, scratch, "first")), "rest")
     # Shingles that one document of the rest has alone.
     held = sets.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
     alone = held.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c")).filter("c = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
@@ -154,8 +155,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     again = scratch.keep(ordered(again.select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"))).join(tried, ["a", "b"], "left_anti"), "again")
     links = scratch.keep(links.unionByName(confirmed(again)), "links")
     left = scratch.keep(labelled(able.drop("component"), components(links, scratch, "second")), "left")
-    other = left.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("own").alias("own_m"), F.col("component").alias("d"))
-    across = left.withColumnRenamed("doc_id", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & possible(F.col("n"), F.col("m"), F.col("own"), F.col("own_m")))
+    left = left.join(members.select("doc_id", "halves"), "doc_id")
+
+    def same(first: int) -> Column:
+        """The first group hash of a collection that a pair has in common, from 0."""
+        equal = F.zip_with(F.slice("halves", first + 1, groups), F.slice("halves_b", first + 1, groups), lambda x, y: x == y)
+        return F.array_position(equal, F.lit(True)) - 1
+
+    once = F.col("table") == same(0) * groups + same(groups)  # of the tables that a pair shares, in the first
+    other = left.select("key", F.col("halves").alias("halves_b"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("own").alias("own_m"), F.col("component").alias("d"))
+    across = left.withColumnRenamed("doc_id", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & possible(F.col("n"), F.col("m"), F.col("own"), F.col("own_m")) & once)
     more = confirmed(across.select("a", "b").distinct().join(tried.unionAll(again), ["a", "b"], "left_anti"))
     every = scratch.keep(links.unionByName(more), "every")
     final = scratch.keep(components(every, scratch, "final"), "components")
