@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 from functools import lru_cache
 
@@ -92,8 +93,8 @@ def _library_ids(path: str) -> Cache:
     """Packed ids of a chunk, its words put through the tokenizers library's model."""
     vocab = vocabulary(path)
     tokenize = vocab.model.tokenize
-    words = Cache(lambda word: np.array([t.id for t in tokenize(word)], np.uint32).tobytes())
-    one = lambda w: np.uint32(w).tobytes() if isinstance(w, int) else words[w]
+    words = Cache(lambda word: array("I", [t.id for t in tokenize(word)]).tobytes())
+    one = lambda w: array("I", [w]).tobytes() if isinstance(w, int) else words[w]
     return Cache(lambda chunk: b"".join([one(w) for w in vocab.words(chunk)]))
 
 

@@ -23,6 +23,15 @@ CACHE_ENTRIES = 400_000
 #: The format's pre-token pattern on printable, lower-case ASCII without white space.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
+#: The same on lower-case letters of Latin-1 too. These letters are composed and have one lower-case form, so
+#: that normalisation is lower() alone; chunks with other characters go to the library.
+LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+#: Byte-level alphabet: printable bytes are themselves, the others follow from 256 on, in order.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
+
 
 class Vocabulary:
     """Merges by symbol id: pairs[a << 16 | b] = rank << 16 | merged id.
@@ -65,6 +74,9 @@ class Vocabulary:
                     yield part
                 else:
                     yield from ASCII_WORDS.findall(part)
+            elif LATIN.fullmatch(part):
+                for word in LATIN_WORDS.findall(part.lower()):
+                    yield word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
             else:
                 for word, _ in self._pre(self._normal(part)):
                     yield word

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm import ann, bpe_codec, neardup, packing, quality, sharding, substring, token_counts, toxicity, warc
+from ledgerline.llm.vocab import vocabulary
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -37,6 +38,13 @@ def test_tokens_and_codec(docs):
         assert trips[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_latin_chunks_as_the_library():
+    vocab, library = vocabulary(PATH), Tokenizer.from_file(PATH)
+    rng, chars = random.Random(2), [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x180))]
+    for chunk in [*chars, *("".join(rng.choices(chars, k=rng.randint(2, 9))) for _ in range(5000))]:
+        assert list(vocab.words(chunk.encode())) == [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(chunk))]
+
+
 def test_quality_repeats(docs):
     found = {r["doc_id"]: r for r in quality.quality(docs).collect()}
     for i, t, _ in texts():
