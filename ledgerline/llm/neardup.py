@@ -112,8 +112,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "neardup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("_raw"))
     signed = scratch.keep(sign(texts, shingle, groups, width), "signed")
-    classes = signed.groupBy("class_key").agg(F.min(F.struct("doc_id", "n_shingles", "halves")).alias("r"))
-    members = classes.filter("r.halves is not null and r.doc_id is not null").select(F.col("r.doc_id").alias("doc_id"), F.col("r.n_shingles").alias("n"), F.col("r.halves").alias("halves"))
+    named = signed.filter("doc_id is not null")  # a null id is in no class and represents none
+    classes = named.groupBy("class_key").agg(F.min(F.struct("doc_id", "n_shingles", "halves")).alias("r"))
+    members = classes.filter("r.halves is not null").select(F.col("r.doc_id").alias("doc_id"), F.col("r.n_shingles").alias("n"), F.col("r.halves").alias("halves"))
     keys = F.posexplode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: F.transform(F.sequence(F.lit(groups), F.lit(2 * groups - 1)), lambda j: F.xxhash64(i, j, F.get("halves", i), F.get("halves", j))))))
     keyed = members.select(keys.alias("table", "key"), "doc_id", "n")
     shared = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "hub")
@@ -170,5 +171,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     final = scratch.keep(components(every, scratch, "final"), "components")
     scratch.drop("buckets", "sets", "tried", "stars", "rest", "able", "again", "links", "left", "every")
     of_class = classes.select("class_key", F.col("r.doc_id").alias("node")).join(final, "node", "left").select("class_key", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "class_key").join(of_class, "class_key")
+    out = named.select("doc_id", "n_shingles", "class_key").join(of_class, "class_key").select("doc_id", "n_shingles", "component_id")
+    out = out.unionAll(signed.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

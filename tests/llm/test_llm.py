@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from ledgerline.llm import ann, bpe_codec, neardup, packing, quality, sharding, substring, token_counts, toxicity, warc
 from ledgerline.llm.vocab import vocabulary
 
@@ -74,6 +75,16 @@ def test_near_duplicates(docs):
     assert neardup.near_duplicates(docs.filter("false")).count() == 0
 
 
+def test_null_id_with_a_shared_text(spark):
+    base = texts()[5][1]
+    rows = [(None, base), (None, base), (3, base), (4, base), (5, base + " tail"), (6, None), (None, None), (7, "one two")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, percent=85).collect()), key=str)
+    assert found == [(3, 3, True), (4, 3, False), (5, 3, False), (6, 6, True), (7, 7, True), *[(None, None, None)] * 3]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(((i, t) for i, t in rows if i not in (4, 5)), key=str)
+
+
 def test_salvage():
     records = [warc.member(warc.record_bytes(i, "http://h", b"page %d" % i, warc.digest(b"page %d" % i), None)) for i in range(6)]
     whole = b"".join(records)
