@@ -38,8 +38,8 @@ from ledgerline.llm import words as W
 from ledgerline.llm.scratch import Scratch
 
 WINDOW, GRAM = 13, 5
-#: Batches that a whole table is taken in.
-BATCHES = 2
+#: Batches that a whole table is taken in; from the third on, the index compacts.
+BATCHES = 3
 
 
 class Block:

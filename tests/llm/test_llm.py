@@ -69,6 +69,13 @@ def test_substring(docs):
         assert found[i] == (len(cut), b" ".join(x for k, x in enumerate(w) if k not in cut).decode())
 
 
+def test_default_batches_compact(docs, monkeypatch):
+    levels, write = [], substring.FingerprintIndex._write
+    monkeypatch.setattr(substring.FingerprintIndex, "_write", lambda self, rows, level: levels.append(level) or write(self, rows, level))
+    substring.dedup(docs)
+    assert levels == [0, 0, 1, 0]
+
+
 def test_near_duplicates(docs):
     found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, percent=85).collect()}
     assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 5, 8: 5, 9: 9}
