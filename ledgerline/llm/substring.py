@@ -19,7 +19,7 @@ one key of a minimum with map-side combining and of plain joins, which AQE split
 grouped by their own id.
 
 Defined results: a null or empty text has no words, nothing removed and an empty rest; texts under
-13 words keep all; rows with one id repeated are one document each and not earlier than each other;
+13 words keep all; rows with one id repeated are one document each, whatever their texts, and not earlier than each other;
 a null id is left alone; only id, text and carried columns are read; an empty table gives an empty table.
 """
 
@@ -101,7 +101,10 @@ def _fingerprint_rows(docs: DataFrame) -> DataFrame:
 
 
 def _window_rows(docs: DataFrame) -> DataFrame:
-    """(hi, lo, doc_id, at): windows whose fingerprint is in the document's `shared`."""
+    """(hi, lo, doc_id, text_hash, at): windows whose fingerprint is in the document's `shared`.
+
+    docs: doc_id, raw, shared and text_hash, in this order.
+    """
 
     def batches(it):
         for batch in it:
@@ -115,9 +118,9 @@ def _window_rows(docs: DataFrame) -> DataFrame:
                 if len(hit):
                     high, low = block.window_hashes(hit)
                     at = (block.at[hit] - block.first[block.owner[hit]]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), part.column(0).take(pa.array(block.owner[hit])), pa.array(at)], names=["hi", "lo", "doc_id", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), part.column(0).take(pa.array(block.owner[hit])), part.column(3).take(pa.array(block.owner[hit])), pa.array(at)], names=["hi", "lo", "doc_id", "text_hash", "at"])
 
-    return docs.mapInArrow(batches, "hi bigint, lo int, doc_id bigint, at int")
+    return docs.mapInArrow(batches, "hi bigint, lo int, doc_id bigint, text_hash bigint, at int")
 
 
 def _cut_rows(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -194,19 +197,23 @@ class FingerprintIndex:
         else:
             holders = new.join(own.filter("first < last").select("fp"), "fp", "left_semi")
         shared = holders.groupBy("doc_id").agg(F.collect_set("fp").alias("shared"))
-        texts = batch.select("doc_id", "raw")
+        # The shared fingerprints of an id may come from several texts; places are of one text each.
+        text_hash = F.xxhash64("raw").alias("text_hash")
+        texts = batch.select("doc_id", "raw", text_hash)
         if history is not None and older:
-            texts = texts.unionAll(history.select("doc_id", "raw"))
+            texts = texts.unionAll(history.select("doc_id", "raw", text_hash))
         name = f"{self.written}"
-        windows = self.scratch.keep(_window_rows(texts.join(shared, "doc_id").select("doc_id", "raw", "shared")), f"windows-{name}")
+        windows = self.scratch.keep(_window_rows(texts.join(shared, "doc_id").select("doc_id", "raw", "shared", "text_hash")), f"windows-{name}")
         self.scratch.release()
         first = windows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hi", "lo", "first")
-        starts = windows.join(first, ["hi", "lo"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+        starts = windows.join(first, ["hi", "lo"]).filter("doc_id > first").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("starts"))
         starts = self.scratch.keep(starts, f"starts-{name}")
         self.scratch.drop(f"windows-{name}")
         self.scratch.release()
         carry = [c for c in batch.columns if c not in ("doc_id", "raw")]
-        return _cut_rows(batch.join(starts, "doc_id", "left").select("doc_id", "raw", "starts", *carry), carry)
+        found = starts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("starts").alias("_starts"))
+        cut = batch.join(found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("raw") == F.col("_hash")), "left")
+        return _cut_rows(cut.select("doc_id", "raw", "_starts", *carry), carry)
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fanout: int = 2, carry: Sequence[str] = ()) -> DataFrame:

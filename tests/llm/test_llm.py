@@ -69,6 +69,25 @@ def test_substring(docs):
         assert found[i] == (len(cut), b" ".join(x for k, x in enumerate(w) if k not in cut).decode())
 
 
+def test_substring_two_texts_under_one_id(spark):
+    word = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    passage = word("p", 20)
+    rows = [(1, passage), (5, word("a", 60) + " " + passage), (5, word("b", 30)), (5, word("b", 30)), (5, passage + " " + word("c", 70)), (9, word("b", 30)), (9, None)]
+    first = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for j in range(len(w) - 12):
+            key = tuple(w[j : j + 13])
+            first[key] = min(first.get(key, i), i)
+    wanted = []
+    for i, t in rows:
+        w = (t or "").split()
+        cut = {k for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for k in range(j, j + 13)}
+        wanted.append((i, len(w), len(cut), " ".join(x for k, x in enumerate(w) if k not in cut)))
+    found = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(wanted)
+
+
 def test_default_batches_compact(docs, monkeypatch):
     levels, write = [], substring.FingerprintIndex._write
     monkeypatch.setattr(substring.FingerprintIndex, "_write", lambda self, rows, level: levels.append(level) or write(self, rows, level))
