@@ -7,7 +7,8 @@ hold. Everything is one projection over the scan: no shuffle, no join, no Python
 
 Repeated windows: each three-word window of a text becomes one long, its hash in the upper bits (53
 or 48 of them) and its place in the lower; sorted, windows with equal hashes are neighbours. Texts
-of 65,536 words and more sort pairs of a 64-bit hash and a place instead.
+of 65,536 words and more sort pairs of a 64-bit hash and a place instead. Only windows with such a
+neighbour go further: they are sorted by their three words, and equal words decide.
 
 Defined results: a null or empty text has no words and fails the base rules; every row gives one
 row, repeated rows included; all input columns but the named measures pass through (a measure's name
@@ -54,6 +55,20 @@ def _repeat_words(words: Column) -> Column:
     def window(i: Column) -> Column:
         return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
+    def exact(candidates: Column) -> Column:
+        """What the windows at these places cover whose three words occur twice among them: equal words are neighbours."""
+
+        def repeated(ranked: Column) -> Column:
+            def same(s: Column, k: Column) -> Column:
+                t = F.get(ranked, k)
+                return F.coalesce((s["a"] == t["a"]) & (s["b"] == t["b"]) & (s["c"] == t["c"]), F.lit(False))
+
+            found = F.filter(ranked, lambda s, k: same(s, k + 1) | same(s, k - 1))
+            return let(F.sort_array(F.transform(found, lambda s: s["i"])), _covered)
+
+        full = F.transform(candidates, lambda i: F.struct(F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("i")))
+        return let(F.sort_array(full), repeated)
+
     def packed(bits: int) -> Column:
         """Sorts one long a window: the hash above, the place in the lowest bits."""
         low = (1 << bits) - 1
@@ -61,15 +76,14 @@ def _repeat_words(words: Column) -> Column:
         def repeated(ranked: Column) -> Column:
             near = lambda x, k: F.shiftright(x.bitwiseXOR(F.get(ranked, k)), bits) == 0
             again = F.filter(ranked, lambda x, k: F.coalesce(near(x, k + 1), F.lit(False)) | F.coalesce(near(x, k - 1), F.lit(False)))
-            places = F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.lit(low)).cast("int")))
-            return F.when(F.size(again) == 0, F.lit(0)).otherwise(let(places, _covered))
+            return F.when(F.size(again) == 0, F.lit(0)).otherwise(exact(F.transform(again, lambda x: x.bitwiseAND(F.lit(low)).cast("int"))))
 
         longs = F.transform(F.sequence(F.lit(0), size - 3), lambda i: window(i).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
         return let(F.sort_array(longs), repeated)
 
     def wide(ranked: Column) -> Column:
         same = F.filter(ranked, lambda s, k: F.coalesce(s["h"] == F.get(ranked, k - 1)["h"], F.lit(False)) | F.coalesce(s["h"] == F.get(ranked, k + 1)["h"], F.lit(False)))
-        return let(F.sort_array(F.transform(same, lambda s: s["i"])), _covered)
+        return F.when(F.size(same) == 0, F.lit(0)).otherwise(exact(F.transform(same, lambda s: s["i"])))
 
     structs = F.sort_array(F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.struct(window(i).alias("h"), i.alias("i"))))
     return F.when(size < 4, F.lit(0)).when(size < 1 << 11, packed(11)).when(size < 1 << 16, packed(16)).otherwise(let(structs, wide))

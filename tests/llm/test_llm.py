@@ -58,6 +58,21 @@ def test_quality_repeats(docs):
     assert quality.quality(docs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [60, 2500, 66000])
+def test_quality_repeats_with_equal_hashes(spark, monkeypatch, n):
+    """All windows have one hash, so only their words tell them apart."""
+    w = [f"w{k}" for k in range(n)]
+    w[20:24] = w[4:8]
+    w[40:43] = w[4:7]
+    at = {}
+    for j in range(len(w) - 2):
+        at.setdefault(tuple(w[j : j + 3]), []).append(j)
+    cover = {j + k for places in at.values() if len(places) > 1 for j in places for k in range(3)}
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *cols: F.lit(0).cast("long"))
+    docs = spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")
+    assert quality.quality(docs).select("n_repeat_words").first()[0] == len(cover)
+
+
 def test_substring(docs):
     first, found = {}, {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in substring.dedup(docs, batches=3).collect()}
     for i, t, _ in texts():
