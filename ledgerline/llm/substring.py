@@ -2,35 +2,45 @@
 
 A fingerprint of a 13-word window is the least hash of its nine 5-word runs. Equal windows have equal
 fingerprints, and neighbouring windows mostly share one, so a text has about a fifth as many distinct
-fingerprints as windows. The index is a series of sorted immutable runs of (fingerprint, doc_id).
+fingerprints as windows. The index is a series of immutable runs, each of two tables:
+
+- prints (fp, first, last): a fingerprint with its least and greatest document, in sorted buckets;
+- windows (hi, lo, first): digests of the windows whose fingerprint has had two documents or more.
 
 A batch is handled as follows.
 
-1. Compaction: while a level has `fanout` runs, they are merged into one run of the next level.
-2. The batch's fingerprints are written as a new run, sorted.
-3. The new run is merge-joined with the historical runs. What is left is each fingerprint of the
-   batch that has two documents or more, with its documents in the batch and in history.
-4. Verification: the texts of these documents are read again, and each window whose fingerprint is
-   among the document's shared ones is given a 96-bit hash of its 13 words in full. A window whose
-   words also start in an earlier document (less id; all of history is earlier) is removed.
+1. Compaction: while a level has `fanout` runs, they are merged into one run of the next level. Prints
+   are merged bucket by bucket without a shuffle.
+2. The batch's fingerprints are written as a new run of prints, one row each, made with map-side
+   combining, so that a passage of a third of all documents is one row.
+3. The new run is merge-joined with the historical ones on sorted buckets. What is left are the
+   fingerprints that the batch shares with another document.
+4. Verification: each window of the batch under such a fingerprint is given a 128-bit digest of the
+   text of its 13 words. A historical fingerprint that had one document only is opened: that document
+   is read again for its windows; those of other historical fingerprints are in the runs. A window
+   whose words also start in an earlier document (less id; all of history is earlier) is removed.
 
-Batches come in the order of ids: the query cuts the table at quantiles of doc_id. A hot passage is
-one key of a minimum with map-side combining and of plain joins, which AQE splits; documents are only
-grouped by their own id.
+Batches come in the order of ids: the query cuts the table at quantiles of doc_id. Rows of a hot
+passage meet only in plain joins, which AQE splits; documents are only grouped by their own id.
 
 Defined results: a null or empty text has no words, nothing removed and an empty rest; texts under
 13 words keep all; rows with one id repeated are one document each, whatever their texts, and not earlier than each other;
-a null id is left alone; only id, text and carried columns are read; an empty table gives an empty table.
+a null id is left alone; only id, text and carried columns are read, and a carried column named as a result gives way to it;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import operator
 from collections import Counter
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +59,8 @@ class Block:
         words = [W.split(x) for x in texts]
         self.sizes = np.array([len(w) for w in words], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        h = W.hashes([w for own in words for w in own])
+        self.words = [w for own in words for w in own]
+        h = W.hashes(self.words)
         n = max(len(h) - WINDOW + 1, 0)
         ends = np.repeat(self.first + self.sizes, self.sizes)[:n]
         #: Places of windows, and the text that each is in.
@@ -64,12 +75,11 @@ class Block:
             np.minimum(out, self.grams[self.at + j], out=out)
         return out
 
-    def window_hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A 64-bit and a further 32-bit hash of the words of chosen windows; runs at 0, 4 and 8 hold all 13."""
-        a, b, c = (self.grams[self.at[chosen] + j] for j in (0, WINDOW // 2 - 2, WINDOW - GRAM))
-        high = W.mix(W.mix(W.mix(a) + b) + c)
-        low = W.mix(a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xD6E8FEB86659FD93) + c)
-        return high.view(np.int64), (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    def digests(self, chosen: np.ndarray) -> np.ndarray:
+        """128 bits of the text of each chosen window, as two columns of longs."""
+        words, join = self.words, b" ".join
+        raw = b"".join([xxhash.xxh3_128_digest(join(words[a : a + WINDOW])) for a in self.at[chosen].tolist()])
+        return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
 def _blocks(batch: pa.RecordBatch, rows: int = 256):
@@ -103,7 +113,7 @@ def _fingerprint_rows(docs: DataFrame) -> DataFrame:
 def _window_rows(docs: DataFrame) -> DataFrame:
     """(hi, lo, doc_id, text_hash, at): windows whose fingerprint is in the document's `shared`.
 
-    docs: doc_id, raw, shared and text_hash, in this order.
+    docs: doc_id, raw, shared and text_hash, in this order. Without a text_hash the places are not asked for.
     """
 
     def batches(it):
@@ -116,11 +126,11 @@ def _window_rows(docs: DataFrame) -> DataFrame:
                 wanted = W.mix(shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + owners.astype(np.uint64) * salt)
                 hit = np.flatnonzero(np.isin(W.mix(block.fingerprints() + block.owner.astype(np.uint64) * salt), wanted))
                 if len(hit):
-                    high, low = block.window_hashes(hit)
+                    digests, owner = block.digests(hit), pa.array(block.owner[hit])
                     at = (block.at[hit] - block.first[block.owner[hit]]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), part.column(0).take(pa.array(block.owner[hit])), part.column(3).take(pa.array(block.owner[hit])), pa.array(at)], names=["hi", "lo", "doc_id", "text_hash", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), part.column(0).take(owner), part.column(3).take(owner), pa.array(at)], names=["hi", "lo", "doc_id", "text_hash", "at"])
 
-    return docs.mapInArrow(batches, "hi bigint, lo int, doc_id bigint, text_hash bigint, at int")
+    return docs.mapInArrow(batches, "hi bigint, lo bigint, doc_id bigint, text_hash bigint, at int")
 
 
 def _cut_rows(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -150,78 +160,106 @@ def _cut_rows(docs: DataFrame, carry: list[str]) -> DataFrame:
     return docs.mapInArrow(batches, ", ".join(["doc_id bigint", *carried, "n_words bigint", "n_removed bigint", "kept_text string"]))
 
 
+@dataclass
+class Run:
+    """A run of the index; its tables are named by its number and never changed."""
+
+    level: int
+    number: int
+    prints: DataFrame
+    windows: DataFrame
+
+
 class FingerprintIndex:
-    """Runs are tables below a shared folder, named by level and number; none is changed once written."""
+    """Runs are tables below a shared folder."""
 
     def __init__(self, spark: SparkSession, *, fanout: int = 2):
-        self.scratch, self.fanout = Scratch(spark, "fingerprints"), fanout
-        self.written = 0
-        self.levels: list[tuple[int, str, DataFrame]] = []
+        if fanout < 2:
+            raise ValueError("fanout must be 2 or more")
+        self.scratch, self.fanout, self.written = Scratch(spark, "fingerprints"), fanout, 0
+        self.runs: list[Run] = []
 
-    def _write(self, rows: DataFrame, level: int) -> DataFrame:
-        """Sorted by fingerprint within files that each hold a range of hashed fingerprints."""
-        self.written += 1
-        name = f"run-{level}-{self.written}"
-        run = self.scratch.keep(rows.repartition("fp").sortWithinPartitions("fp", "doc_id"), name)
-        self.levels.append((level, name, run))
-        return run
+    def _prints(self, rows: DataFrame, number: int) -> DataFrame:
+        return self.scratch.keep_sorted(rows, f"prints-{number}", "fp")
 
     def compact(self) -> None:
         """Merges the runs of a level that is full; the merged runs are dropped once their successor is complete."""
-        while full := [level for level, n in Counter(x[0] for x in self.levels).items() if n >= self.fanout]:
-            old = [x for x in self.levels if x[0] == full[0]]
-            merged = old[0][2]
-            for x in old[1:]:
-                merged = merged.unionAll(x[2])
-            self.levels = [x for x in self.levels if x[0] != full[0]]
-            self._write(merged, full[0] + 1)
-            self.scratch.drop(*(x[1] for x in old))
+        while full := [level for level, n in Counter(r.level for r in self.runs).items() if n >= self.fanout]:
+            old = [r for r in self.runs if r.level == full[0]]
+            merged = old[0].prints
+            for r in old[1:]:
+                merged = merged.join(r.prints.select("fp", F.col("first").alias("a"), F.col("last").alias("b")), "fp", "full_outer").select("fp", F.least("first", "a").alias("first"), F.greatest("last", "b").alias("last"))
+            self.written += 1
+            prints = self._prints(merged, self.written)
+            windows = self.scratch.keep(reduce(DataFrame.unionAll, [r.windows for r in old]), f"windows-{self.written}")  # runs have no window in common
+            self.runs = [r for r in self.runs if r.level != full[0]] + [Run(full[0] + 1, self.written, prints, windows)]
+            for r in old:
+                self.scratch.drop(f"prints-{r.number}", f"windows-{r.number}")
+
+    def _met(self, new: DataFrame) -> DataFrame:
+        """(fp, opened): the new run's fingerprints that two documents or more have. `opened` is the one historical document of a fingerprint that had only one."""
+        found = new
+        for k, r in enumerate(self.runs):
+            found = found.join(r.prints.select("fp", F.col("first").alias(f"first_{k}"), F.col("last").alias(f"last_{k}")), "fp", "left")
+        olds = range(len(self.runs))
+        times = reduce(operator.add, [F.col(f"first_{k}").isNotNull().cast("int") for k in olds], F.lit(0))
+        single = [F.when(F.col(f"first_{k}") == F.col(f"last_{k}"), F.col(f"first_{k}")) for k in olds]
+        opened = F.when(times == 1, F.coalesce(*single)) if self.runs else F.lit(None).cast("long")
+        return found.filter((F.col("first") < F.col("last")) | (times > 0)).select("fp", opened.alias("opened"))
 
     def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """doc_id, n_words, n_removed and kept_text of the batch (doc_id, raw, others), which joins the index.
 
-        history holds the texts of the documents in the index; only those that share a fingerprint with
-        the batch go any further.
+        history holds the texts of the documents in the index, all of lesser ids; only those that have to be
+        opened go any further.
         """
         self.compact()
-        older = [x[2] for x in self.levels]
-        new = self._write(_fingerprint_rows(batch.select("doc_id", "raw")), 0)
-        own = new.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        if older:
-            past = older[0]
-            for run in older[1:]:
-                past = past.unionAll(run)
-            met = past.join(own.select("fp"), "fp", "left_semi")
-            common = own.filter("first < last").select("fp").unionAll(met.select("fp")).distinct()
-            holders = new.join(common, "fp", "left_semi").unionAll(met)
-        else:
-            holders = new.join(own.filter("first < last").select("fp"), "fp", "left_semi")
-        shared = holders.groupBy("doc_id").agg(F.collect_set("fp").alias("shared"))
+        keep, drop = self.scratch.keep, self.scratch.drop
+        self.written += 1
+        k = self.written
+        postings = keep(_fingerprint_rows(batch.select("doc_id", "raw")), f"postings-{k}")
+        new = self._prints(postings.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), k)
+        met = keep(self._met(new), f"met-{k}")
+        wanted = postings.join(met, "fp", "left_semi").select("doc_id", "fp").unionAll(met.filter("opened is not null").select("opened", "fp"))
+        shared = wanted.groupBy("doc_id").agg(F.collect_set("fp").alias("shared"))
         # The shared fingerprints of an id may come from several texts; places are of one text each.
-        text_hash = F.xxhash64("raw").alias("text_hash")
-        texts = batch.select("doc_id", "raw", text_hash)
-        if history is not None and older:
-            texts = texts.unionAll(history.select("doc_id", "raw", text_hash))
-        name = f"{self.written}"
-        windows = self.scratch.keep(_window_rows(texts.join(shared, "doc_id").select("doc_id", "raw", "shared", "text_hash")), f"windows-{name}")
-        self.scratch.release()
-        first = windows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hi", "lo", "first")
-        starts = windows.join(first, ["hi", "lo"]).filter("doc_id > first").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("starts"))
-        starts = self.scratch.keep(starts, f"starts-{name}")
-        self.scratch.drop(f"windows-{name}")
-        self.scratch.release()
+        texts = batch.select("doc_id", "raw", F.xxhash64("raw").alias("text_hash"))
+        if history is not None and self.runs:
+            texts = texts.unionAll(history.select("doc_id", "raw", F.lit(None).cast("long")))
+        places = keep(_window_rows(texts.join(shared, "doc_id").select("doc_id", "raw", "shared", "text_hash")), f"places-{k}")
+        drop(f"postings-{k}", f"met-{k}")
+        rows = places.select("hi", "lo", "doc_id", F.lit(True).alias("own"), F.lit(False).alias("known"))
+        for r in self.runs:
+            rows = rows.unionAll(r.windows.select("hi", "lo", "first", F.lit(False), F.lit(True)))
+        seen = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("own").alias("own"), F.max("known").alias("known"))
+        seen = keep(seen.filter("own and (first < last or not known)"), f"seen-{k}")
+        windows = keep(seen.filter("not known").select("hi", "lo", "first"), f"windows-{k}")
+        repeated = places.filter("text_hash is not null").join(seen.filter("first < last").select("hi", "lo", "first"), ["hi", "lo"]).filter("doc_id > first")
+        starts = keep(repeated.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("starts")), f"starts-{k}")
+        drop(f"places-{k}", f"seen-{k}")
+        self.runs.append(Run(0, k, new, windows))
         carry = [c for c in batch.columns if c not in ("doc_id", "raw")]
         found = starts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("starts").alias("_starts"))
         cut = batch.join(found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("raw") == F.col("_hash")), "left")
         return _cut_rows(cut.select("doc_id", "raw", "_starts", *carry), carry)
 
+    def close(self) -> None:
+        """Drops all runs. Results of add() stay readable."""
+        for r in self.runs:
+            self.scratch.drop(f"prints-{r.number}", f"windows-{r.number}")
+        self.runs = []
+
+
+#: Names of results, which carried columns give way to.
+RESULTS = ("doc_id", "n_words", "n_removed", "kept_text")
+
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fanout: int = 2, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, the carried columns, n_words, n_removed and kept_text of each document, the table taken as batches in the order of ids."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"), *carry)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bounds = [None, *cuts, None]
+    kept = [c for c in carry if c.lower() not in (*RESULTS, "raw", "_starts", "_id", "_hash")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"), *(F.col(f"`{c}`") for c in kept))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
+    bounds = [None, *sorted(set(cuts or [])), None]
     index, out = FingerprintIndex(docs.sparkSession, fanout=fanout), None
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
         low_ok = F.lit(True) if low is None else F.col("doc_id") > low
@@ -229,5 +267,5 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ba
         part = rows.filter(low_ok & (high_ok if low is not None else high_ok | F.col("doc_id").isNull()))
         found = index.add(part, None if low is None else rows.filter(F.col("doc_id") <= low))
         out = found if out is None else out.unionAll(found)
+    index.close()
     return out
-

@@ -103,11 +103,57 @@ def test_substring_two_texts_under_one_id(spark):
     assert sorted(tuple(r) for r in found.collect()) == sorted(wanted)
 
 
-def test_default_batches_compact(docs, monkeypatch):
-    levels, write = [], substring.FingerprintIndex._write
-    monkeypatch.setattr(substring.FingerprintIndex, "_write", lambda self, rows, level: levels.append(level) or write(self, rows, level))
-    substring.dedup(docs)
-    assert levels == [0, 0, 1, 0]
+def cut_by_hand(rows):
+    """(id, words, words removed, rest) of each row by plain Python."""
+    first = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for j in range(len(w) - 12):
+            if i is not None:
+                key = tuple(w[j : j + 13])
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for i, t in rows:
+        w = (t or "").split()
+        cut = {k for j in range(len(w) - 12) if i is not None and first[tuple(w[j : j + 13])] < i for k in range(j, j + 13)}
+        out.append((i, len(w), len(cut), " ".join(x for k, x in enumerate(w) if k not in cut)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("batches, levels", [(3, [0, 0, 1, 0]), (5, [0, 0, 1, 0, 0, 1, 2, 0])])
+def test_batches_compact(spark, monkeypatch, batches, levels):
+    """Passages at all distances, so that what is opened, known and compacted all matters; a null id, empty and long texts."""
+    rng, made = random.Random(batches), []
+    passages = [" ".join(f"p{k}w{rng.randint(0, 40)}" for _ in range(rng.randint(13, 40))) for k in range(12)]
+    for i in range(180):
+        parts = [" ".join(f"d{i}w{rng.randint(0, 9)}" for _ in range(rng.randint(0, 30)))]
+        for p in rng.sample(passages, rng.randint(0, 3)):
+            w = p.split()
+            at = rng.randint(0, 4)
+            parts += [" ".join(w[at:]), f"x{i}"]
+        made.append((i, " ".join(parts)))
+    rows = [*made, (None, made[3][1]), (None, None), (181, ""), (182, " ".join([made[7][1]] * 60)), (183, "same word " * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index_levels, write = [], substring.FingerprintIndex._prints
+    monkeypatch.setattr(substring.FingerprintIndex, "_prints", lambda self, df, number: index_levels.append(number) or write(self, df, number))
+    built, compact = [], substring.FingerprintIndex.compact
+
+    def watched(self):
+        before = {r.number for r in self.runs}
+        compact(self)
+        built.extend(r.level for r in self.runs if r.number not in before or r.level == 0 and r.number == max(x.number for x in self.runs))
+
+    monkeypatch.setattr(substring.FingerprintIndex, "compact", watched)
+    found = sorted((tuple(r) for r in substring.dedup(docs, batches=batches).collect()), key=str)
+    assert found == cut_by_hand(rows)
+    assert max(built) == max(levels) and len(index_levels) == len(levels)
+
+
+def test_substring_clashing_and_empty(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, n_words string, kept_text string")
+    found = substring.dedup(docs, carry=["n_words", "kept_text"])
+    assert found.columns == ["doc_id", "n_words", "n_removed", "kept_text"] and found.collect()[0][1:] == (2, 0, "a b")
+    assert substring.dedup(docs.filter("false")).count() == 0
 
 
 def test_near_duplicates(docs):
