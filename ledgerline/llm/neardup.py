@@ -6,6 +6,9 @@ table key joins one group of either collection, so groups**2 tables of 2 * width
 32 minhashes serve 64 tables of 4, and a pair at similarity 0.85 is missed by all with probability
 2 * (1 - 0.85**2)**8 = 7e-5.
 
+Keys. A key can be shared only if both its halves are, so the 2 * groups halves of all documents are
+counted first, and keys are made of shared halves only.
+
 Classes. Texts with equal shingle sets form a class, represented by its smallest id; only
 representatives get keys. Links between classes are searched in this order:
 
@@ -24,8 +27,8 @@ A comparison counts common shingles on full sets.
 Sets are kept only for members of buckets with two classes or more.
 
 Defined results: a text without words has an empty set, 0 shingles and its own component; fewer than
-five words make one shingle of the whole sequence; repeated rows with one id are one node; a null id
-stays alone with a null component; only id and text are read, so other columns cannot clash; an
+five words make one shingle of the whole sequence; rows that repeat an id are one node, whatever their
+texts, and have its component in common; a null id stays alone with a null component; only id and text are read, so other columns cannot clash; an
 empty table gives an empty table.
 """
 
@@ -76,8 +79,8 @@ def sign(docs: DataFrame, k: int, groups: int, width: int) -> DataFrame:
         if full:
             for i, row in zip(full, signatures([sets[i] for i in full], groups, width).tolist(), strict=True):
                 halves[i] = row
-        keys = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else f"empty {i}" for i, s in zip(ids, sets, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string()), pa.array(halves, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class_key", "halves"])
+        keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else f"empty {i}".encode() for i, s in zip(ids, sets, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class_key", "halves"])
 
     def batches(it):
         for batch in it:
@@ -92,7 +95,7 @@ def sign(docs: DataFrame, k: int, groups: int, width: int) -> DataFrame:
             if ids:
                 yield made(ids, sets)
 
-    return docs.mapInArrow(batches, "doc_id bigint, n_shingles bigint, class_key string, halves array<bigint>")
+    return docs.mapInArrow(batches, "doc_id bigint, n_shingles bigint, class_key binary, halves array<bigint>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -113,10 +116,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("_raw"))
     signed = scratch.keep(sign(texts, shingle, groups, width), "signed")
     named = signed.filter("doc_id is not null")  # a null id is in no class and represents none
-    classes = named.groupBy("class_key").agg(F.min(F.struct("doc_id", "n_shingles", "halves")).alias("r"))
-    members = classes.filter("r.halves is not null").select(F.col("r.doc_id").alias("doc_id"), F.col("r.n_shingles").alias("n"), F.col("r.halves").alias("halves"))
-    keys = F.posexplode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: F.transform(F.sequence(F.lit(groups), F.lit(2 * groups - 1)), lambda j: F.xxhash64(i, j, F.get("halves", i), F.get("halves", j))))))
-    keyed = members.select(keys.alias("table", "key"), "doc_id", "n")
+    classes = named.groupBy("class_key").agg(F.min(F.struct("doc_id", "n_shingles", "halves")).alias("r"), F.count(F.lit(1)).alias("size"))
+    classes = scratch.keep(classes.select("class_key", F.col("r.doc_id").alias("doc_id"), F.col("r.n_shingles").alias("n"), F.col("r.halves").alias("halves"), "size"), "classes")
+    members = classes.filter("halves is not null").select("doc_id", "n", "halves")
+    half = members.select("doc_id", "n", F.posexplode("halves").alias("g", "h"))
+    both = half.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("g", "h")
+    having = half.join(both, ["g", "h"], "left_semi").groupBy("doc_id", "n").agg(F.map_from_entries(F.collect_set(F.struct("g", "h"))).alias("halves"))
+    of = lambda i: F.element_at("halves", i)
+    chosen = lambda low: F.filter(F.map_keys("halves"), lambda g: (g < groups) if low else (g >= groups))
+    keys = F.explode(F.flatten(F.transform(chosen(True), lambda i: F.transform(chosen(False), lambda j: F.struct((i * groups + j - groups).alias("table"), F.xxhash64(i, j, of(i), of(j)).alias("key"))))))
+    keyed = scratch.keep(having.select(keys.alias("k"), "doc_id", "n").select("k.table", "k.key", "doc_id", "n"), "keyed")
     shared = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "hub")
     # Members of buckets with two classes or more; the others need nothing further.
     buckets = scratch.keep(keyed.select("key", "table", "doc_id", "n").join(shared, "key"), "buckets")
@@ -167,10 +176,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     other = left.select("key", F.col("halves").alias("halves_b"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("own").alias("own_m"), F.col("component").alias("d"))
     across = left.withColumnRenamed("doc_id", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & possible(F.col("n"), F.col("m"), F.col("own"), F.col("own_m")) & once)
     more = confirmed(across.select("a", "b").distinct().join(tried.unionAll(again), ["a", "b"], "left_anti"))
-    every = scratch.keep(links.unionByName(more), "every")
-    final = scratch.keep(components(every, scratch, "final"), "components")
-    scratch.drop("buckets", "sets", "tried", "stars", "rest", "able", "again", "links", "left", "every")
-    of_class = classes.select("class_key", F.col("r.doc_id").alias("node")).join(final, "node", "left").select("class_key", F.coalesce("component", "node").alias("component_id"))
-    out = named.select("doc_id", "n_shingles", "class_key").join(of_class, "class_key").select("doc_id", "n_shingles", "component_id")
+    # An id whose rows have several texts is in several classes, which it links.
+    several = named.groupBy("doc_id").agg(F.min("class_key").alias("lo"), F.max("class_key").alias("hi")).filter("lo < hi").select("doc_id")
+    joined = named.select("doc_id", "class_key").join(several, "doc_id", "left_semi").join(classes.select("class_key", F.col("doc_id").alias("node")), "class_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    every = scratch.keep(links.unionByName(more).unionByName(joined), "every")
+    final = components(every, scratch, "final")
+    # Classes whose component is not the only member itself; written, so that AQE can split the join of a large class.
+    moved = classes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").filter("size > 1 or component is not null")
+    moved = scratch.keep(moved.select("class_key", F.coalesce("component", "doc_id").alias("component")), "moved")
+    scratch.drop("classes", "keyed", "buckets", "sets", "tried", "stars", "rest", "able", "again", "links", "left", "every")
+    out = named.select("doc_id", "n_shingles", "class_key").join(moved, "class_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = out.unionAll(signed.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -240,3 +240,46 @@ def test_neighbours(spark):
         c[q] = -2
         hits += len({*np.argsort(-c)[:5].tolist()} & {r["vec_id"] for r in found if r["query_id"] == q})
     assert hits / 80 >= 0.9 and {r["query_id"] for r in found} == {*range(0, 800, 50)}
+
+
+def classes_by_hand(rows, percent, k=5):
+    """Component of each row's id by plain Python: all pairs of full sets; rows of one id are one node."""
+    sets = []
+    for i, t in rows:
+        w = "".join(c.lower() if c.isascii() else c for c in t or "").split()
+        sets.append((i, {tuple(w[j : j + k]) for j in range(max(len(w) - k + 1, min(len(w), 1)))}))
+    root = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (a, x) in enumerate(sets):
+        for b, y in sets[:n]:
+            if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return sorted([(i, len(x), None if i is None else find(i), None if i is None else find(i) == i) for i, x in sets], key=str)
+
+
+def near_copies(seed):
+    """Groups of copies with a few words changed, so that similarities lie around the threshold, and chains of them."""
+    rng, rows = random.Random(seed), []
+    for g in range(12):
+        w = [f"g{g}w{rng.randint(0, 400)}" for _ in range(rng.randint(30, 160))]
+        for _ in range(rng.randint(1, 9)):
+            copy = list(w)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                copy[rng.randrange(len(copy))] = f"n{rng.randint(0, 10**6)}"
+            rows.append((len(rows) * 3, " ".join(copy)))
+            if rng.random() < 0.4:
+                w = copy
+    return rows
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_against_brute_force(spark, percent):
+    rows = near_copies(percent)
+    rows += [(1, "A b c d e f"), (5, "a B c d e f"), (5, "u v w x y z"), (7, "U v w x y z"), (7, "U v w x y z"), (11, ""), (12, None), (None, rows[0][1]), (None, ""), (13, "one two"), (14, "ONE two"), (15, "same " * 5000), (16, "same " * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x")).withColumn("class_key", F.lit(1))
+    assert sorted((tuple(r) for r in neardup.near_duplicates(docs, percent=percent).collect()), key=str) == classes_by_hand(rows, percent)
