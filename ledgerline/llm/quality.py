@@ -11,8 +11,11 @@ of 65,536 words and more sort pairs of a 64-bit hash and a place instead. Only w
 neighbour go further: they are sorted by their three words, and equal words decide.
 
 Defined results: a null or empty text has no words and fails the base rules; every row gives one
-row, repeated rows included; all input columns but the named measures pass through (a measure's name
-replaces an input column of the same name in any case); an empty table gives an empty table.
+row, repeated rows included; all input columns pass through but those named as a measure, base_failed,
+failed_rules or kept in any case, which the results replace; an empty table gives an empty table.
+
+The verdict is one expression, in which a text is measured once. `keep` filters by it: a filter on the
+columns of `quality` would be pushed below the projection and measure again for each column it needs.
 """
 
 from __future__ import annotations
@@ -120,15 +123,29 @@ def ratios(m: Callable[[str], Column]) -> dict[str, Column]:
     }
 
 
-def quality(docs: DataFrame, *, text_col: str = "text", rules=RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """The input with the measures, base_failed, failed_rules (names, in the table's order) and kept."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("_measured", measured(text))
-    out = out.withColumns({k: F.col("_measured")["lines"][k] if "_lines" in k else F.col("_measured")[k] for k in MEASURES})
-    known = ratios(F.col)
-    broken = [F.when(~F.coalesce((F.lit(True) if low is None else known[name] >= low) & (F.lit(True) if high is None else known[name] <= high), F.lit(False)), F.lit(name)) for name, low, high in rules]
-    out = out.withColumns({
-        "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
-        "failed_rules": F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>"),
-    })
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_measured")
+def verdict(text: Column, *, rules=RULES, min_words: int = 50, max_repeat_percent: int = 50) -> Column:
+    """A struct of the measures, base_failed, failed_rules (names, in the table's order) and kept, from one measurement."""
+
+    def judged(m: Column) -> Column:
+        get = lambda k: m["lines"][k] if "_lines" in k else m[k]
+        known = ratios(get)
+        broken = [F.when(~F.coalesce((F.lit(True) if low is None else known[name] >= low) & (F.lit(True) if high is None else known[name] <= high), F.lit(False)), F.lit(name)) for name, low, high in rules]
+        failed = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
+        base = (get("n_words") < min_words) | (100 * get("n_repeat_words") > max_repeat_percent * get("n_words"))
+        return F.struct(*(get(k).alias(k) for k in MEASURES), base.alias("base_failed"), failed.alias("failed_rules"), (~base & (F.size(failed) == 0)).alias("kept"))
+
+    return let(measured(F.coalesce(text, F.lit(""))), judged)
+
+
+def quality(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The input with the measures, base_failed, failed_rules and kept."""
+    taken, name = {*MEASURES, "base_failed", "failed_rules", "kept"}, "_verdict"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    passed = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
+    return docs.select(*passed, verdict(F.col(f"`{text_col}`"), **options).alias(name)).select(*passed, f"{name}.*")
+
+
+def keep(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows that hold the rules, with their own columns."""
+    return docs.filter(verdict(F.col(f"`{text_col}`"), **options)["kept"])
