@@ -23,7 +23,7 @@ TOXIC = 0.3
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold the threshold table's rules."""
-    return quality.quality(docs.select(COLUMNS)).filter("kept").select(COLUMNS)
+    return quality.keep(docs.select(COLUMNS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
