@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 #: Rows and queries of a block.
 BLOCK, QUERY_BLOCK = 16_384, 2_048
-PROJECTIONS, THRESHOLD, FACTOR, FIRST = 128, 60, 1.15, 0.25
+PROJECTIONS, THRESHOLD, FACTOR, FIRST = 128, 100, 1.05, 0.5
 #: A block's candidates of a query: this many or this share of it, whichever is more.
-CANDIDATES, SHARE = 200, 0.2
+CANDIDATES, SHARE = 200, 0.1
 
 
 def usable(vector: Column) -> Column:
@@ -48,41 +48,57 @@ class Lines:
         self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(values, self.order, axis=1)
 
-    def candidates(self, query: np.ndarray, wanted: int, threshold: int, factor: float, first: float) -> np.ndarray:
-        n = self.values.shape[1]
-        centre = query @ self.axes
-        counts = np.zeros(n, np.int32)
-        low = high = np.array([v.searchsorted(c) for v, c in zip(self.values, centre, strict=True)])
-        half = first
-        while True:
-            new_low = np.array([v.searchsorted(c - half) for v, c in zip(self.values, centre, strict=True)])
-            new_high = np.array([v.searchsorted(c + half, "right") for v, c in zip(self.values, centre, strict=True)])
-            ends = [self.order[i, a:b] for i in range(len(low)) for a, b in ((new_low[i], low[i]), (high[i], new_high[i])) if a < b]
-            if ends:
-                counts += np.bincount(np.concatenate(ends), minlength=n).astype(np.int32)
-            low, high = np.minimum(new_low, low), np.maximum(new_high, high)
-            found = np.flatnonzero(counts >= threshold)
-            if len(found) >= min(wanted, n) or (low == 0).all() and (high == n).all():
-                return found
-            half *= factor
-
-
-def nearest_in_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int, options: dict) -> pd.DataFrame:
+    def candidates(self, queries: np.ndarray, wanted: int, threshold: int, factor: float, first: float):
+        """(query's place, places of its candidates) of each query, all queries' windows widened together."""
+        m, n = self.values.shape
+        centres = (queries @ self.axes).T
+        counts = np.zeros((len(queries), n), np.int16)
+        low = high = np.array([v.searchsorted(c) for v, c in zip(self.values, centres, strict=True)])
+        active, half = np.arange(len(queries)), first
+        while len(active):
+            new_low, new_high = low.copy(), high.copy()
+            for i, v in enumerate(self.values):
+                new_low[i, active] = v.searchsorted(centres[i, active] - half)
+                new_high[i, active] = v.searchsorted(centres[i, active] + half, "right")
+            done = np.zeros(len(queries), bool)
+            for q in active.tolist():
+                ends = [self.order[i, a:b] for i in range(m) for a, b in ((new_low[i, q], low[i, q]), (high[i, q], new_high[i, q])) if a < b]
+                if ends:
+                    counts[q] += np.bincount(np.concatenate(ends), minlength=n).astype(np.int16)
+                found = np.flatnonzero(counts[q] >= threshold)
+                if len(found) >= min(wanted, n) or (new_low[:, q] == 0).all() and (new_high[:, q] == n).all():
+                    done[q] = True
+                    yield q, found
+            low, high = new_low, new_high
+            active, half = active[~done[active]], half * factor
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors by powers of two, which is exact, so that squares of large and small components neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
+def nearest_in_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int, options: dict, verified: list | None = None) -> pd.DataFrame:
+    """The k nearest of a block for each query. verified: takes (query, number of vectors verified)."""
     out: list[tuple] = []
     if len(queries) and len(rows):
-        ids = rows["id"].to_numpy()
-        vectors = np.stack(rows["vector"].to_numpy()).astype(np.float64)
+        ids, asked = rows["id"].to_numpy(), queries["id"].tolist()
+        vectors = scaled(np.stack(rows["vector"].to_numpy()).astype(np.float64))
         norms = np.sqrt((vectors * vectors).sum(axis=1))
         lines = Lines(vectors / norms[:, None], options["projections"])
+        points = scaled(np.stack(queries["vector"].to_numpy()).astype(np.float64))
+        lengths = np.sqrt((points * points).sum(axis=1))
         wanted = max(options["candidates"], int(options["share"] * len(ids)))
-        for q, x in zip(queries["id"].tolist(), queries["vector"], strict=True):
-            x = np.asarray(x, np.float64)
-            length = np.sqrt((x * x).sum())
-            found = lines.candidates(x / length, wanted, options["threshold"], options["factor"], options["first"])
-            found = found[ids[found] != q]
-            cosine = (vectors[found] * x).sum(axis=1) / (norms[found] * length)
-            best = np.lexsort((ids[found], -cosine))[:k]
-            out += zip([q] * len(best), ids[found][best].tolist(), cosine[best].tolist(), strict=True)
+        for at in range(0, len(asked), 256):  # so that the counts take no more than 256 x block
+            part = slice(at, at + 256)
+            for q, found in lines.candidates(points[part] / lengths[part, None], wanted, options["threshold"], options["factor"], options["first"]):
+                name, x, length = asked[at + q], points[at + q], lengths[at + q]
+                if verified is not None:
+                    verified.append((name, len(found)))
+                found = found[ids[found] != name]
+                cosine = (vectors[found] * x).sum(axis=1) / (norms[found] * length)
+                best = np.lexsort((ids[found], -cosine))[:k]
+                out += zip([name] * len(best), ids[found][best].tolist(), cosine[best].tolist(), strict=True)
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 

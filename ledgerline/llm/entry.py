@@ -37,7 +37,7 @@ def op4_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(warc.plan(table(spark, sf_dir, "pages")), warc.archive_folder(spark))
-    return warc.read(manifest, payloads=False).filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.whole(warc.read(manifest, payloads=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 W = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+#: The sharding's hash of key and salt; with equal weights the greatest hash has the highest score.
+UNIT = "((('0x' || substr(md5(doc_id::VARCHAR || ':' || {}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
 STOPS = ", ".join(f"'{w}'" for w in quality.STOP_FORMS)
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,6 +104,15 @@ WITH a AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages), b AS (SE
 l AS (SELECT h, max(page_id) AS top FROM b GROUP BY h)
 SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INTEGER, 1)), '') AS payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM b JOIN l USING (h)""",
+    "op6_rendezvous_shards": rf"""
+WITH t AS (SELECT list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS v, n FROM range(0, 256) r(n)),
+tab AS (SELECT list(v ORDER BY n) AS tab FROM t),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents),
+c AS (SELECT doc_id, CASE WHEN text IS NULL THEN 1 ELSE size END AS size, b FROM d JOIN documents USING (doc_id)),
+u AS (SELECT doc_id, list_transform(range(0, 17), lambda i: {UNIT.format("i::VARCHAR")}) AS u, {UNIT.format("'bucket'")} AS k FROM documents),
+s AS (SELECT doc_id, floor(k * 4096)::BIGINT AS k, list_position(u[1:16], list_max(u[1:16])) - 1 AS shard, list_position(u, list_max(u)) - 1 AS grown FROM u)
+SELECT s.doc_id, size::BIGINT AS size, xor(list_reduce(b, lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY k, s.doc_id) - 1)::BIGINT AS slot, grown::INTEGER AS grown_shard FROM s JOIN c USING (doc_id), tab""",
     "op8_tensored_minhash": rf"""
 WITH RECURSIVE a AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS t FROM a, range(1, greatest(len(w) - 3, least(len(w), 1) + 1)) r(i)),

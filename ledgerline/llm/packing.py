@@ -16,7 +16,7 @@ final; the last goes on into the next block. So memory is bounded by a block and
 and a partition has one short sequence at most. Partitions are those of the scan: there is no shuffle
 and a lost task is repeated alone. Sequence ids are partition << 40 | number in the partition.
 
-Defined results: a null or empty text is the end token alone; repeated rows are packed each; only id
+Defined results: a sequence length under STEP narrows the gap between possible cuts to itself; a null or empty text is the end token alone; repeated rows are packed each; only id
 and text are read; an empty table gives an empty table.
 """
 
@@ -47,12 +47,12 @@ BLOCK = 400_000
 _END = re.compile(r"[.!?]")
 
 
-def cuts(stream: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Possible cuts of a stream, ascending, and their penalties. ends: behind documents; stops: ids that end a sentence."""
+def cuts(stream: np.ndarray, ends: np.ndarray, stops: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Possible cuts of a stream, ascending, and their penalties. ends: behind documents; stops: whether an id ends a sentence."""
     n = len(stream)
     penalty = np.full(n + 1, np.inf)
-    penalty[np.arange(0, n + 1, STEP)] = WITHIN
-    penalty[np.flatnonzero(np.isin(stream, stops)) + 1] = SENTENCE
+    penalty[np.arange(0, n + 1, step)] = WITHIN
+    penalty[np.flatnonzero(stops[np.minimum(stream, len(stops) - 1)]) + 1] = SENTENCE
     penalty[ends] = 0.0
     at = np.flatnonzero(np.isfinite(penalty))
     return at, penalty[at]
@@ -60,10 +60,13 @@ def cuts(stream: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.nd
 
 def best_cuts(at: list[int], penalty: list[float], length: int = LENGTH) -> list[int]:
     """The cuts, first and last included, of the cheapest way from at[0] to at[-1]."""
-    n = len(at)
+    n, places = len(at), np.asarray(at)
     cost, back = [0.0] * n, [0] * n
-    index = {x: k for k, x in enumerate(at)}
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]
+    exact: dict[int, list[int]] = {}  # earlier cuts that are a power of two away
+    for p in [1 << k for k in range(length.bit_length()) if 1 << k < length]:
+        k = np.searchsorted(places, places - p)
+        for j in np.flatnonzero(places[k] == places - p).tolist():
+            exact.setdefault(j, []).append(int(k[j]))
     queue: deque[int] = deque([0])  # by cost(i) + i ascending, and by place
     for j in range(1, n):
         here = at[j]
@@ -71,9 +74,8 @@ def best_cuts(at: list[int], penalty: list[float], length: int = LENGTH) -> list
             queue.popleft()
         i = queue[0]
         least, source = cost[i] + length - (here - at[i]), i
-        for p in powers:
-            k = index.get(here - p)
-            if k is not None and cost[k] < least:
+        for k in exact.get(j, ()):
+            if cost[k] < least:
                 least, source = cost[k], k
         cost[j] = least + penalty[j] + SEQUENCE
         back[j] = source
@@ -100,9 +102,11 @@ def _library_ids(path: str) -> Cache:
 
 @lru_cache(maxsize=2)
 def sentence_stops(path: str) -> np.ndarray:
-    """Ids of the tokens that end a word and hold a full stop, question or exclamation mark."""
+    """Of each id, whether it ends a word and holds a full stop, question or exclamation mark; the last entry is of all further ids."""
     vocab = vocabulary(path)
-    return np.array(sorted(i for t, i in vocab.ids.items() if t.endswith(vocab.suffix) and _END.search(t)), np.uint32)
+    out = np.zeros(max(vocab.tokens) + 2, bool)
+    out[[i for t, i in vocab.ids.items() if t.endswith(vocab.suffix) and _END.search(t)]] = True
+    return out
 
 
 def token_ids(raw: bytes | None, path: str, end_id: int) -> np.ndarray:
@@ -127,7 +131,7 @@ class Packer:
         if not self.docs:
             return
         ends = np.cumsum([len(ids) for _, ids, _ in self.docs])
-        at, penalty = cuts(np.concatenate([ids for _, ids, _ in self.docs]), np.concatenate([[0], ends]), self.stops)
+        at, penalty = cuts(np.concatenate([ids for _, ids, _ in self.docs]), np.concatenate([[0], ends]), self.stops, min(STEP, self.length))
         chosen = best_cuts(at.tolist(), penalty.tolist(), self.length)
         stop = len(chosen) - 1 if last or len(chosen) == 2 and self.size >= self.length else len(chosen) - 2
         d, used, carried = 0, 0, []  # used: of the document d
@@ -151,6 +155,8 @@ PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequ
 
 def pack(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """A row for each piece: its document, place in it, length, CRC-32 of its ids, sequence and offset there; ids on demand."""
+    if length < 1:
+        raise ValueError("length must be 1 or more")
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {PIECES}" + (", ids array<int>" if with_ids else "")
     names = [id_col, *(x.split()[0] for x in PIECES.split(", ")), *(["ids"] if with_ids else [])]
 

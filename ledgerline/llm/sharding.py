@@ -40,7 +40,7 @@ def shard(rows: DataFrame, weights: Sequence[float], *, key_col: str = "doc_id",
     found = {"shard": (F.array_position(first, F.array_max(first)) - 1).cast("int")}
     if grown:
         found["grown_shard"] = (F.array_position("_scores", F.array_max("_scores")) - 1).cast("int")
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    bucket = F.floor(unit(key, "bucket") * buckets).cast("int")
     placed = scored.withColumns(found | {"_bucket": bucket}).drop("_scores")
     sizes = placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

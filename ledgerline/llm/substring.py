@@ -32,6 +32,7 @@ an empty table gives an empty table.
 from __future__ import annotations
 
 import operator
+import re
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -133,8 +134,18 @@ def _window_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(batches, "hi bigint, lo bigint, doc_id bigint, text_hash bigint, at int")
 
 
-def _cut_rows(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """doc_id, the carried columns, n_words, n_removed and kept_text, the kept words joined by a space.
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without(raw: bytes, cut: list[bool]) -> bytes:
+    """The text without the words that are cut and the white space behind each; all else stays as it is."""
+    starts = [m.start() for m in _WORD.finditer(raw)]
+    ends = [*starts[1:], len(raw)]
+    return raw[: starts[0]] + b"".join([raw[a:b] for a, b, c in zip(starts, ends, cut, strict=True) if not c]) if starts else raw
+
+
+def _cut_rows(docs: DataFrame, carry: list[str], layout: bool) -> DataFrame:
+    """doc_id, the carried columns, n_words, n_removed and kept_text: the kept words joined by a space, or, with layout, as they stand in the text.
 
     docs: doc_id, raw, starts and the carried columns, in this order.
     """
@@ -145,15 +156,15 @@ def _cut_rows(docs: DataFrame, carry: list[str]) -> DataFrame:
                 part = batch.slice(at, 500)
                 n, gone, kept = [], [], []
                 for x, starts in zip(part.column(1), part.column(2), strict=True):
-                    words = W.split(x.as_py())
+                    raw = x.as_py() or b""
+                    words = W.split(raw)
                     n.append(len(words))
-                    if starts.is_valid:
-                        cut = covered(len(words), starts.values.to_numpy(zero_copy_only=False).astype(np.int64))
-                        gone.append(int(cut.sum()))
-                        words = [w for w, c in zip(words, cut.tolist(), strict=True) if not c]
+                    cut = covered(len(words), starts.values.to_numpy(zero_copy_only=False).astype(np.int64)).tolist() if starts.is_valid else [False] * len(words)
+                    gone.append(sum(cut))
+                    if layout:
+                        kept.append((without(raw, cut) if gone[-1] else raw).decode("utf-8"))
                     else:
-                        gone.append(0)
-                    kept.append(b" ".join(words).decode("utf-8"))
+                        kept.append(b" ".join([w for w, c in zip(words, cut, strict=True) if not c] if gone[-1] else words).decode("utf-8"))
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[3:], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", *carry, "n_words", "n_removed", "kept_text"])
 
     carried = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
@@ -207,7 +218,7 @@ class FingerprintIndex:
         opened = F.when(times == 1, F.coalesce(*single)) if self.runs else F.lit(None).cast("long")
         return found.filter((F.col("first") < F.col("last")) | (times > 0)).select("fp", opened.alias("opened"))
 
-    def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    def add(self, batch: DataFrame, history: DataFrame | None = None, *, layout: bool = False) -> DataFrame:
         """doc_id, n_words, n_removed and kept_text of the batch (doc_id, raw, others), which joins the index.
 
         history holds the texts of the documents in the index, all of lesser ids; only those that have to be
@@ -241,7 +252,7 @@ class FingerprintIndex:
         carry = [c for c in batch.columns if c not in ("doc_id", "raw")]
         found = starts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("starts").alias("_starts"))
         cut = batch.join(found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("raw") == F.col("_hash")), "left")
-        return _cut_rows(cut.select("doc_id", "raw", "_starts", *carry), carry)
+        return _cut_rows(cut.select("doc_id", "raw", "_starts", *carry), carry, layout)
 
     def close(self) -> None:
         """Drops all runs. Results of add() stay readable."""
@@ -254,8 +265,11 @@ class FingerprintIndex:
 RESULTS = ("doc_id", "n_words", "n_removed", "kept_text")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fanout: int = 2, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, the carried columns, n_words, n_removed and kept_text of each document, the table taken as batches in the order of ids."""
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fanout: int = 2, carry: Sequence[str] = (), layout: bool = False) -> DataFrame:
+    """doc_id, the carried columns, n_words, n_removed and kept_text of each document, the table taken as batches in the order of ids.
+
+    layout: kept_text keeps the white space between kept words; a text without repeats is unchanged.
+    """
     kept = [c for c in carry if c.lower() not in (*RESULTS, "raw", "_starts", "_id", "_hash")]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"), *(F.col(f"`{c}`") for c in kept))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
@@ -265,7 +279,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ba
         low_ok = F.lit(True) if low is None else F.col("doc_id") > low
         high_ok = F.lit(True) if high is None else F.col("doc_id") <= high
         part = rows.filter(low_ok & (high_ok if low is not None else high_ok | F.col("doc_id").isNull()))
-        found = index.add(part, None if low is None else rows.filter(F.col("doc_id") <= low))
+        found = index.add(part, None if low is None else rows.filter(F.col("doc_id") <= low), layout=layout)
         out = found if out is None else out.unionAll(found)
     index.close()
     return out

@@ -49,6 +49,8 @@ class Vocabulary:
         self.suffix: str = model["end_of_word_suffix"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens: dict[int, str] = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.specials.items()}
+        if len(self.tokens) > 1 << 16 or max(self.tokens) >= 1 << 16:
+            raise ValueError(f"{path}: ids over 65,535 do not fit the packed pairs")
         self.pairs: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, (a, b) in enumerate(model["merges"]):

@@ -9,7 +9,12 @@ Reader. A file is read as a stream. Each member is inflated and its record check
 header fields, Content-Length, block digest. Where a check fails, the reader searches for the next
 place with a member's magic bytes, or a version line in plain files, that opens a valid record, goes on
 there, and logs the bytes between as a quarantined gap (path, start, end, reason). Good records before
-and after a gap are recovered.
+and after a gap are recovered. A plain record's length is checked by the four bytes that must end it
+before the record is read, and headers have a greatest length, so that a damaged length costs one seek
+and not the rest of the file: the work is linear in the file, the memory that of one record.
+
+`read` gives records and gaps; `whole` fails on the first gap, for archives that must have none. Reading
+tasks are counted from the manifest's files and bytes.
 
 Files are opened by pyarrow's file systems from the URI of the shared folder.
 
@@ -31,10 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.scratch import new_folder
+
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes read at once, and bytes searched behind damage that the reader keeps at a time.
+#: Bytes read at once.
 CHUNK = 1 << 20
+#: Bytes inflated or searched at once, and the greatest length of a plain record's header.
+PIECE, HEADER_MOST = 1 << 16, 1 << 20
+#: Bytes of archives that a reading task takes.
+TASK_BYTES = 256 << 20
 ROLL_BYTES = 64 << 20
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -77,32 +88,29 @@ class Damaged(Exception):
     pass
 
 
-def parse(raw: bytes, whole: bool) -> tuple[dict, int]:
-    """The record at the start of raw and its length; whole: raw is a member, and nothing may follow."""
-    if not raw.startswith(b"WARC/1."):
-        raise Damaged("no version line")
-    cut = raw.find(b"\r\n\r\n")
-    if cut < 0:
-        raise Damaged("header is cut off")
+def header(raw: bytes) -> tuple[dict[str, str], int]:
+    """The fields, names in lower case, of a header without its empty line, and the length of the block."""
     fields = {}
-    for line in raw[:cut].split(b"\r\n")[1:]:
+    for line in raw.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("bad header field")
         fields[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
-    try:
-        size = int(fields["content-length"])
-    except (KeyError, ValueError):
-        raise Damaged("bad Content-Length") from None
-    end = cut + 4 + size
-    if size < 0 or raw[end : end + 4] != b"\r\n\r\n":
-        raise Damaged("record is cut off")
-    if whole and len(raw) != end + 4:
-        raise Damaged("bytes behind the record")
-    block = raw[cut + 4 : end]
+    size = fields.get("content-length", "")
+    if not (size.isascii() and size.isdigit()) or len(size) > 15:
+        raise Damaged("bad Content-Length")
+    return fields, int(size)
+
+
+def record(fields: dict[str, str], block: bytes) -> dict:
+    """A record's columns, its digests checked."""
     if fields.get("warc-block-digest", "") not in ("", f"sha1:{digest(block)}"):
         raise Damaged("block digest differs")
-    number = lambda name: int(x) if (x := fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")).lstrip("-").isdigit() else None
+
+    def number(name: str) -> int | None:
+        text = fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")
+        return int(text) if text.isascii() and text.lstrip("-").isdigit() and len(text) < 19 else None
+
     kind = fields.get("warc-type")
     body = block.partition(b"\r\n\r\n")[2]
     found = fields.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -112,78 +120,126 @@ def parse(raw: bytes, whole: bool) -> tuple[dict, int]:
     return {
         "page_id": number("warc-record-id"), "record_type": kind, "url": fields.get("warc-target-uri"), "payload_bytes": len(body) if kind == "response" or size is None else size,
         "payload_digest": found or digest(body), "refers_to": number("warc-refers-to"), "payload": body if kind == "response" else None,
-    }, end + 4
+    }
 
 
 class _Window:
-    """A stream's bytes from `start` on; what lies before is let go."""
+    """A seekable file from `start` on: `data[at:]` are its next bytes; what lies before is let go by and by."""
 
     def __init__(self, stream):
-        self.stream, self.start, self.data, self.ended = stream, 0, b"", False
+        self.stream, self.data, self.at, self.ended, self.origin = stream, b"", 0, False, 0
 
-    def more(self) -> bool:
-        """False at the end of the stream. Reads as much again as there is, so that joining costs no squares."""
-        if not self.ended:
-            got = self.stream.read(max(CHUNK, len(self.data)))
-            self.ended = not got
-            self.data += got
-        return not self.ended
+    @property
+    def start(self) -> int:
+        return self.origin + self.at
 
-    def drop(self, n: int) -> None:
-        self.start, self.data = self.start + n, self.data[n:]
+    def left(self) -> int:
+        return len(self.data) - self.at
 
-
-def _at(window: _Window, at: int) -> tuple[dict, int]:
-    """The record that begins at an offset of the window's data, and its length in the file."""
-    while len(window.data) - at < len(VERSION) and window.more():
-        pass
-    if window.data.startswith(MAGIC, at):
-        inflater, out, done = zlib.decompressobj(31), [], at
+    def want(self, n: int) -> bool:
+        """Whether there are n next bytes; reads what they need."""
+        while not self.ended and self.left() < n:
+            got = self.stream.read(max(CHUNK, n - self.left()))
+            self.ended = not got
+            self.origin, self.data, self.at = self.origin + self.at, self.data[self.at :] + got, 0
+        return self.left() >= n
+
+    def peek(self, place: int, n: int) -> bytes:
+        """n bytes, or fewer at the end, at a place of the file."""
+        if self.origin <= place and place + n <= self.origin + len(self.data):
+            return self.data[place - self.origin : place - self.origin + n]
+        here = self.stream.tell()
+        self.stream.seek(place)
+        found = self.stream.read(n)
+        self.stream.seek(here)
+        return found
+
+    def find(self, what: bytes, within: int) -> int:
+        """How far ahead `what` begins, at most `within` bytes; -1 if it does not."""
+        size = PIECE
         while True:
-            try:
-                out.append(inflater.decompress(window.data[done:]))
-            except zlib.error as error:
-                raise Damaged(f"bad gzip member: {error}") from None
-            done = len(window.data)
-            if inflater.eof:
-                return parse(b"".join(out), True)[0], len(window.data) - len(inflater.unused_data) - at
-            if not window.more():
-                raise Damaged("gzip member is cut off")
-    if not window.data.startswith(b"WARC/1.", at):
-        raise Damaged("neither a gzip member nor a version line")
-    while True:
+            full = self.want(min(size, within))
+            found = self.data.find(what, self.at, self.at + within)
+            if found >= 0:
+                return found - self.at
+            if not full or size >= within:
+                return -1
+            size *= 4
+
+
+def _member(window: _Window) -> tuple[dict, int]:
+    """The record of the gzip member that is next, and the member's length."""
+    inflater, out, used = zlib.decompressobj(31), [], 0
+    while not inflater.eof:
+        if not window.want(used + 1):
+            raise Damaged("gzip member is cut off")
+        piece = window.data[window.at + used : window.at + used + PIECE]
         try:
-            return parse(window.data[at:], False)
-        except Damaged as error:
-            if "cut off" not in str(error) or not window.more():
-                raise
+            out.append(inflater.decompress(piece))
+        except zlib.error as error:
+            raise Damaged(f"bad gzip member: {error}") from None
+        used += len(piece) - len(inflater.unused_data)
+        if len(out) == 1 and not out[0].startswith(VERSION[:7]) and len(out[0]) >= 7:
+            raise Damaged("no version line in the member")
+    raw = b"".join(out)
+    if not raw.startswith(VERSION[:7]):
+        raise Damaged("no version line in the member")
+    cut = raw.find(b"\r\n\r\n")
+    if cut < 0:
+        raise Damaged("header is cut off")
+    fields, size = header(raw[:cut])
+    if raw[cut + 4 + size :] != b"\r\n\r\n":
+        raise Damaged("Content-Length does not fit the member")
+    return record(fields, raw[cut + 4 : cut + 4 + size]), used
+
+
+def _plain(window: _Window) -> tuple[dict, int]:
+    """The record that is next without compression, and its length."""
+    cut = window.find(b"\r\n\r\n", HEADER_MOST)
+    if cut < 0:
+        raise Damaged("header is cut off")
+    fields, size = header(window.data[window.at : window.at + cut])
+    end = cut + 4 + size
+    if window.peek(window.start + end, 4) != b"\r\n\r\n":
+        raise Damaged("Content-Length does not fit")
+    window.want(end + 4)
+    return record(fields, window.data[window.at + cut + 4 : window.at + end]), end + 4
+
+
+def _next(window: _Window) -> tuple[dict, int]:
+    window.want(len(VERSION))
+    if window.data.startswith(MAGIC, window.at):
+        return _member(window)
+    if window.data.startswith(VERSION[:7], window.at):
+        return _plain(window)
+    raise Damaged("neither a gzip member nor a version line")
 
 
 def salvage(stream, path: str) -> Iterator[dict]:
-    """Records and gaps of a stream, in order."""
+    """Records and gaps of a seekable stream, in order."""
     window = _Window(stream)
-    while window.data or window.more():
+    while window.want(1):
         try:
-            record, size = _at(window, 0)
+            found, size = _next(window)
         except Damaged as error:
             start, reason = window.start, str(error)
-            while True:  # the next place that opens a valid record
-                places = [p for p in (window.data.find(MAGIC, 1), window.data.find(b"WARC/1.", 1)) if p >= 0]
-                if places:
-                    window.drop(min(places))
-                    try:
-                        _at(window, 0)
-                        break
-                    except Damaged:
-                        continue
-                window.drop(max(len(window.data) - len(VERSION), 0))
-                if not window.more():
-                    window.drop(len(window.data))
+            window.at += 1
+            while window.want(1):  # to the next place that opens a valid record
+                window.want(PIECE)
+                places = [p for p in (window.data.find(MAGIC, window.at), window.data.find(VERSION[:7], window.at)) if p >= 0]
+                if not places:
+                    window.at = len(window.data) if window.ended else max(window.at + 1, len(window.data) - len(VERSION))
+                    continue
+                window.at = min(places)
+                try:
+                    _next(window)
                     break
+                except Damaged:
+                    window.at += 1
             yield {"path": path, "start": start, "end": window.start, "gap": reason}
             continue
-        yield record | {"path": path, "start": window.start, "end": window.start + size}
-        window.drop(size)
+        yield found | {"path": path, "start": window.start, "end": window.start + size}
+        window.at += size
 
 
 def _open(uri: str):
@@ -237,30 +293,36 @@ def write(planned: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES) -> D
     return planned.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read(manifest: DataFrame, *, payloads: bool = True) -> DataFrame:
-    """Records and gaps (gap is not null) of the files in a table with a `path`. A file is a task's unit of work."""
+def read(manifest: DataFrame, *, payloads: bool = True, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Records and gaps (gap is not null) of the files in a table with `path` and `bytes`. A file is a task's least work."""
 
     def records(it):
         for part in it:
             for path in part.column(0).to_pylist():
                 system, name = _open(path)
-                with system.open_input_stream(name, compression=None) as stream:
+                with system.open_input_file(name) as stream:
                     held, size = [], 0
                     for found in salvage(stream, path):
+                        size += 200 + (len(found.get("payload") or b"") if payloads else 0)
                         if not payloads:
                             found["payload"] = None
                         held.append(found)
-                        size += found["end"] - found["start"]
-                        if len(held) >= 2000 or size >= 8 << 20:
+                        if size >= 8 << 20:
                             yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
                             held, size = [], 0
                     if held:
                         yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
 
-    return manifest.select("path").repartition("path").mapInArrow(records, RECORD)
+    files, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    return manifest.select("path").repartition(max(1, min(files, max(2 * cores, -(-size // task_bytes))))).mapInArrow(records, RECORD)
 
 
-def archive_folder(spark: SparkSession) -> str:
-    from ledgerline.llm.scratch import shared_folder
+def whole(records: DataFrame) -> DataFrame:
+    """The records, or an error that names the first gap met."""
+    gap = F.concat(F.lit("gap in "), "path", F.lit(" at "), F.col("start").cast("string"), F.lit(": "), "gap")
+    return records.filter(F.when(F.col("gap").isNotNull(), F.raise_error(gap).cast("boolean")).otherwise(F.lit(True)))
+
 
-    return f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+def archive_folder(spark: SparkSession) -> str:
+    return new_folder(spark, "warc")
