@@ -19,7 +19,10 @@ representatives get keys. Links between classes are searched in this order:
    similarity to any other document, exactly. Who cannot reach the threshold is done.
 3. The others are compared with the member of their bucket that has the least share of such shingles,
    mostly what the copies were made from. Components are formed again.
-4. All pairs of a bucket in different components whose bound allows a link are compared. No bucket is
+4. Each document that is left is compared once more with that member of its bucket, the hub, to count
+   what they share. Two members have in common at most the less of what they share with the hub and
+   the less of the rest that is not theirs alone: a bound that also tells apart copies of copies.
+5. All pairs of a bucket in different components whose bound allows a link are compared. No bucket is
    capped; pairs within a component, and pairs that their bounds exclude, are never made, and a pair
    that shares several tables is made in the first of them only.
 
@@ -165,6 +168,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     again = scratch.keep(ordered(again.select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"))).join(tried, ["a", "b"], "left_anti"), "again")
     links = scratch.keep(links.unionByName(confirmed(again)), "links")
     left = scratch.keep(labelled(able.drop("component"), components(links, scratch, "second")), "left")
+    hubs = left.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "doc_id")).alias("h")).select("key", F.col("h.doc_id").alias("hub"))
+    left = scratch.keep(left.join(hubs, "key"), "hubbed")
+    sized = left.select("doc_id", "hub").distinct().join(sets.select("doc_id", "shingles"), "doc_id").join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
+    sized = scratch.keep(sized.groupBy("doc_id", "hub").agg(F.max(F.size(F.array_intersect("shingles", "of_hub"))).cast("long").alias("common")), "sized")
+    # Of what is not its own, the part that the hub has, and the rest.
+    left = left.join(sized, ["doc_id", "hub"]).withColumn("inner", F.least("common", F.col("n") - F.col("own"))).withColumn("outer", F.col("n") - F.col("own") - F.col("inner"))
     left = left.join(members.select("doc_id", "halves"), "doc_id")
 
     def same(first: int) -> Column:
@@ -173,9 +182,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return F.array_position(equal, F.lit(True)) - 1
 
     once = F.col("table") == same(0) * groups + same(groups)  # of the tables that a pair shares, in the first
-    other = left.select("key", F.col("halves").alias("halves_b"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("own").alias("own_m"), F.col("component").alias("d"))
-    across = left.withColumnRenamed("doc_id", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & possible(F.col("n"), F.col("m"), F.col("own"), F.col("own_m")) & once)
-    more = confirmed(across.select("a", "b").distinct().join(tried.unionAll(again), ["a", "b"], "left_anti"))
+    other = left.select("key", F.col("halves").alias("halves_b"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("inner").alias("inner_m"), F.col("outer").alias("outer_m"), F.col("component").alias("d"))
+    most = F.least("inner", "inner_m") + F.least("outer", "outer_m")
+    across = left.withColumnRenamed("doc_id", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & (most * 100 >= (F.col("n") + F.col("m") - most) * percent) & once)
+    more = confirmed(scratch.keep(across.select("a", "b").distinct().join(tried.unionAll(again), ["a", "b"], "left_anti"), "across"))
     # An id whose rows have several texts is in several classes, which it links.
     several = named.groupBy("doc_id").agg(F.min("class_key").alias("lo"), F.max("class_key").alias("hi")).filter("lo < hi").select("doc_id")
     joined = named.select("doc_id", "class_key").join(several, "doc_id", "left_semi").join(classes.select("class_key", F.col("doc_id").alias("node")), "class_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -184,7 +194,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Classes whose component is not the only member itself; written, so that AQE can split the join of a large class.
     moved = classes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").filter("size > 1 or component is not null")
     moved = scratch.keep(moved.select("class_key", F.coalesce("component", "doc_id").alias("component")), "moved")
-    scratch.drop("classes", "keyed", "buckets", "sets", "tried", "stars", "rest", "able", "again", "links", "left", "every")
+    scratch.drop("classes", "keyed", "buckets", "sets", "tried", "stars", "rest", "able", "again", "links", "left", "hubbed", "sized", "across", "every")
     out = named.select("doc_id", "n_shingles", "class_key").join(moved, "class_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = out.unionAll(signed.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
