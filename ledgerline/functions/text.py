@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,9 +21,19 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once a row, however often body uses it and wherever a filter on it is pushed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def casefold(c: Column) -> Column:
+    """Case folding for columns and literals alike: sharp s, ligatures, long s and final sigma are one with their folds."""
+    return F.lower(F.replace(F.upper(c), F.lit("Σ"), F.lit("σ")))
+
+
 def text_key(c: Column) -> Column:
-    """Case-folded text with single spaces; the sharp s counts as ss."""
-    return F.replace(F.lower(collapse(c)), F.lit("ß"), F.lit("ss"))
+    """Case-folded text with single spaces."""
+    return casefold(collapse(c))
 
 
 def contains_term(c: Column, term: str) -> Column:
@@ -36,14 +47,17 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def canonical_url(c: Column) -> Column:
-    """Scheme and host in lower case, no default port, no fragment; null unless http(s) with a host."""
+    """Scheme and host in lower case, no default port, empty query or fragment; null unless http(s) with a host and a valid port."""
     scheme = F.lower(F.regexp_extract(c, r"^([A-Za-z]+)://", 1))
     authority = F.regexp_extract(c, r"^[A-Za-z]+://([^/?#]*)", 1)
-    rest = F.regexp_extract(c, r"^[A-Za-z]+://[^/?#]*([^#]*)", 1)
+    rest = F.regexp_replace(F.regexp_extract(c, r"^[A-Za-z]+://[^/?#]*([^#]*)", 1), r"\?$", "")
     user = F.regexp_extract(authority, r"^(.*@)", 1)
-    host = F.lower(F.regexp_replace(authority, r"^.*@", ""))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
-    return F.when(scheme.isin("http", "https") & (host != ""), F.concat(scheme, F.lit("://"), user, F.regexp_replace(host, ":$", ""), rest))
+    place = F.regexp_replace(authority, r"^.*@", "")
+    host = F.lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:\[\]]*)(?::[0-9]*)?$", 1))
+    port = F.regexp_extract(place, r":([0-9]*)$", 1).try_cast("int")
+    valid = ~place.rlike(r":[0-9]+$") | F.coalesce(port <= 65535, F.lit(False))
+    shown = F.when(port.isNull() | (port == F.when(scheme == "http", 80).otherwise(443)), F.lit("")).otherwise(F.concat(F.lit(":"), port.cast("string")))
+    return F.when(scheme.isin("http", "https") & (host != "") & valid, F.concat(scheme, F.lit("://"), user, host, shown, rest))
 
 
 def safe_url(c: Column) -> Column:

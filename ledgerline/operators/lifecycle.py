@@ -41,10 +41,21 @@ def replay(log: DataFrame) -> DataFrame:
     return out.select("scope", "id", F.when(F.col("next_at").isNull(), "active").otherwise("inactive").alias("status"), "first_seen", "last_seen", F.col("next_at").alias("inactive_at"))
 
 
-def stale(log: DataFrame, order: str) -> DataFrame:
-    """Entries of a log (scope, at, order) that are not newer than all before them in their scope."""
-    before = Window.partitionBy("scope").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("newest", F.max("at").over(before)).filter(F.col("at") <= F.col("newest"))
+def stale(log: DataFrame, order: str, *, ranges: int = 1024) -> DataFrame:
+    """Entries of a log (scope, at, order) that are not newer than all before them in their scope.
+
+    The order is cut into ranges of equal width by its least and greatest value. The maxima of all ranges before
+    an entry's own come from a table of scopes x ranges; only within (scope, range) is there a running window,
+    so that a scope with most of the log is many tasks.
+    """
+    low, high = log.agg(F.min(order), F.max(order)).first()
+    span = (high - low) // ranges + 1 if low is not None else 1
+    cut = log.withColumn("_range", F.floor((F.col(order) - F.lit(low)) / F.lit(span)).cast("int"))
+    before = Window.partitionBy("scope").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    past = cut.groupBy("scope", "_range").agg(F.max("at").alias("_max")).select("scope", "_range", F.max("_max").over(before).alias("_past"))
+    own = Window.partitionBy("scope", "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    known = cut.withColumn("_own", F.max("at").over(own)).join(past, ["scope", "_range"])
+    return known.withColumn("newest", F.greatest("_own", "_past")).filter(F.col("at") <= F.col("newest")).drop("_range", "_own", "_past")
 
 
 def reactivations(log: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import text_key
+from ledgerline.functions.text import let, text_key
 
 #: Tables of a policy file and the lists that each must have.
 LAYOUT = {"title": ("include_any", "exclude_any"), "location": ("include_any", "exclude_any"), "company": ("exclude",), "description": ("include_any", "exclude_any")}
@@ -55,32 +55,42 @@ def _reason(field: str, kind: str, term: str | None) -> Column:
     return F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.lit(term).cast("string").alias("term"))
 
 
-def _key(term: str) -> str:
-    return " ".join(term.split()).casefold()
+def _key(term: str) -> Column:
+    """The same folding as the columns'; a literal, which Spark folds once."""
+    return text_key(F.lit(term))
 
 
 def reasons(field: str, normal: Column, include: tuple[str, ...], exclude: tuple[str, ...]) -> Column:
     """Reasons of one field: each excluded term that occurs, in order, and one if no included term does."""
-    found = [F.when(F.contains(normal, F.lit(_key(t))), _reason(field, "exclude_match", t)) for t in exclude]
+    found = [F.when(F.contains(normal, _key(t)), _reason(field, "exclude_match", t)) for t in exclude]
     if include:
         hit = F.lit(False)
         for t in include:
-            hit = hit | F.contains(normal, F.lit(_key(t)))
+            hit = hit | F.contains(normal, _key(t))
         found.append(F.when(~hit, _reason(field, "no_include_match", None)))
     empty = F.array().cast("array<struct<field:string,kind:string,term:string>>")
     return F.array_compact(F.array(*found)) if found else empty
 
 
 def decide(rows: DataFrame, policy: Policy, *, title: str = "title", company: str | None = "company", description: str = "description") -> DataFrame:
-    """The rows with reasons, ordered title, company, description, and rejected. Texts are normalised once."""
-    named = rows.withColumns({"_title": text_key(F.col(title)), "_description": text_key(F.col(description)), "_company": text_key(F.col(company)) if company else F.lit("")})
-    by_company = [F.when(F.col("_company") == _key(t), _reason("company", "exclude_match", t)) for t in policy.company_exclude]
-    parts = [reasons("title", F.col("_title"), policy.title_include, policy.title_exclude)]
-    if by_company:
-        parts.append(F.array_compact(F.array(*by_company)))
-    parts.append(reasons("description", F.col("_description"), policy.description_include, policy.description_exclude))
-    out = named.withColumn("reasons", F.concat(*parts))
+    """The rows with reasons, ordered title, company, description, and rejected, which replace columns of these names.
+
+    The decision is one expression over the normalised texts, so that a filter on it normalises once.
+    """
+    normal = F.struct(text_key(F.col(title)).alias("title"), text_key(F.col(description)).alias("description"), (text_key(F.col(company)) if company else F.lit("")).alias("company"))
     # A dispatcher in IT is no dispatcher.
-    spared = (F.col("_title") == "it dispatcher") & F.lit(any(_key(t) == "dispatcher" for t in policy.title_exclude))
-    kept = F.filter("reasons", lambda r: ~((r["field"] == "title") & (F.lower(F.coalesce(r["term"], F.lit(""))) == "dispatcher")))
-    return out.withColumn("reasons", F.when(spared, kept).otherwise(F.col("reasons"))).withColumn("rejected", F.size("reasons") > 0).drop("_title", "_company", "_description")
+    spares = any(" ".join(t.split()).casefold() == "dispatcher" for t in policy.title_exclude)
+
+    def decided(n: Column) -> Column:
+        by_title = reasons("title", n["title"], policy.title_include, policy.title_exclude)
+        if spares:
+            kept = F.filter(by_title, lambda r: ~F.coalesce(text_key(r["term"]) == "dispatcher", F.lit(False)))
+            by_title = F.when(n["title"] == "it dispatcher", kept).otherwise(by_title)
+        parts = [by_title]
+        if policy.company_exclude:
+            parts.append(F.array_compact(F.array(*[F.when(n["company"] == _key(t), _reason("company", "exclude_match", t)) for t in policy.company_exclude])))
+        parts.append(reasons("description", n["description"], policy.description_include, policy.description_exclude))
+        return F.concat(*parts)
+
+    kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("reasons", "rejected")]
+    return rows.select(*kept, let(normal, decided).alias("reasons")).withColumn("rejected", F.size("reasons") > 0)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
@@ -10,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import ascii_fold, contains_term
+from ledgerline.functions.text import ascii_fold, contains_term, let
 
 PAGE_SIZES = (25, 50, 100)
 
@@ -30,27 +29,57 @@ class Criteria:
 
 
 def parse_keywords(text: str, mode: str = "AND") -> tuple[list[str], str]:
-    """Terms and mode. Quoted phrases are literal; bare AND or OR, of one kind, sets the mode."""
+    """Terms and mode, read character by character.
+
+    Quotes open and close a phrase, which is taken as it is, spaces included, unless it is empty; elsewhere
+    white space ends a word, and the words AND and OR, of one kind only, set the mode.
+    """
     if mode not in ("AND", "OR"):
         raise SearchError("mode is AND or OR")
-    if text.count('"') % 2:
+    terms: list[str] = []
+    modes: set[str] = set()
+    word, quoted = "", False
+
+    def close(phrase: bool) -> None:
+        nonlocal word
+        if not phrase and word in ("AND", "OR"):
+            modes.add(word)
+        elif word:
+            terms.append(word)
+        word = ""
+
+    for c in text:
+        if c == '"':
+            close(quoted)
+            quoted = not quoted
+        elif c.isspace() and not quoted:
+            close(False)
+        else:
+            word += c
+    if quoted:
         raise SearchError("a quote is not closed")
-    terms, seen = [], set()
-    for quoted, bare in re.findall(r'("[^"]*")|([^\s"]+)', text):
-        if bare in ("AND", "OR"):
-            seen.add(bare)
-        elif term := (quoted[1:-1].strip() if quoted else bare):
-            terms.append(term)
-    if len(seen) > 1:
+    close(False)
+    if len(modes) > 1:
         raise SearchError("AND and OR cannot be mixed")
-    return terms, seen.pop() if seen else mode
+    return terms, modes.pop() if modes else mode
+
+
+def keyword_match(terms: list[str], mode: str, fields: tuple[str, ...]) -> Column:
+    """Each term, or one of them, in any field. Fields are folded once a row, however many terms there are."""
+
+    def found(row: Column) -> Column:
+        hits = [reduce(or_, [F.coalesce(F.contains(row[f"f{k}"], ascii_fold(F.lit(t))), F.lit(False)) for k in range(len(fields))]) for t in terms]
+        return reduce(and_ if mode == "AND" else or_, hits)
+
+    if len(terms) == 1 and len(fields) == 1:
+        return contains_term(F.col(fields[0]), terms[0])
+    return let(F.struct(*(ascii_fold(F.col(f)).alias(f"f{k}") for k, f in enumerate(fields))), found)
 
 
 def predicate(criteria: Criteria) -> Column:
     """All conditions hold on one row; a term counts if any chosen field holds it."""
     terms, mode = parse_keywords(criteria.keywords, criteria.mode)
-    hits = [reduce(or_, [contains_term(F.col(f), t) for f in criteria.fields]) for t in terms]
-    parts = [reduce(and_ if mode == "AND" else or_, hits)] if hits else []
+    parts = [keyword_match(terms, mode, criteria.fields)] if terms else []
     parts += [F.col(k) == v for k, v in criteria.equal.items()]
     parts += [contains_term(F.col(k), v) for k, v in criteria.contains.items()]
     parts += [F.col(k) >= F.lit(v) for k, v in criteria.at_least.items()]
