@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import ascii_fold, canonical_url, collapse, contains_term
-from ledgerline.operators import lifecycle, outcomes, policy, search, sync
+from ledgerline.functions import html
+from ledgerline.functions.text import ascii_fold, canonical_url, contains_term
+from ledgerline.operators import catalog, lifecycle, metadata, occupation, outcomes, policy, report, search, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,18 +136,17 @@ NORMAL = r"trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g'))"
 
 
 def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    normal = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n\x0b\f\r]+", " "))
-    return table(spark, d, "documents").select("doc_id", "source", F.sha2(normal, 256).alias("fingerprint"))
+    return table(spark, d, "documents").select("doc_id", "source", report.text_print(F.col("text")).alias("fingerprint"))
 
 
 @query(f"SELECT sha256({NORMAL}) AS fingerprint, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
 def content_fingerprint_groups(spark, d):
-    return _fingerprints(spark, d).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+    return report.content_groups(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
 
 
 @query(f"SELECT sha256({NORMAL}) AS fingerprint, count(DISTINCT source) AS sources FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")
 def cross_source_duplicates(spark, d):
-    return _fingerprints(spark, d).groupBy("fingerprint").agg(F.count_distinct("source").alias("sources")).filter("sources > 1")
+    return report.shared_groups(_fingerprints(spark, d), "fingerprint")
 
 
 POLICY = policy.Policy(title_exclude=("src1",), description_include=("the", "der", "la"), description_exclude=("idiot", "license"))
@@ -168,7 +168,7 @@ def policy_decisions(spark, d):
 
 @query(REASONS + "SELECT field, kind, term, count(*) AS n FROM r GROUP BY ALL")
 def policy_reason_counts(spark, d):
-    return _decided(spark, d).select(F.explode("reasons").alias("r")).groupBy("r.field", "r.kind", "r.term").agg(F.count(F.lit(1)).alias("n"))
+    return report.reason_counts(_decided(spark, d))
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
@@ -200,25 +200,23 @@ def representative(spark, d):
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1")
 def set_difference(spark, d):
-    return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").filter("quality = 1").select("doc_id"))
+    return report.rejected(table(spark, d, "documents"), table(spark, d, "labels").filter("quality = 1"), "doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM labels WHERE toxic = 1")
 def set_intersection(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id").intersect(table(spark, d, "labels").filter("toxic = 1").select("doc_id"))
+    return report.both(table(spark, d, "documents").filter("lang = 'en'"), table(spark, d, "labels").filter("toxic = 1"), "doc_id")
 
 
 @query("SELECT source, lang, count(*) AS n, count(*) FILTER (WHERE n_chars > 2000) AS n_long FROM documents GROUP BY GROUPING SETS ((source), (source, lang), ())")
 def report_by_scope(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.groupingSets([[F.col("source")], [F.col("source"), F.col("lang")], []], "source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") > 2000).alias("n_long"))
+    return report.by_scope(table(spark, d, "documents"), ["source", "lang"], n_long=F.col("n_chars") > 2000)
 
 
 @query("SELECT count(*) AS postings, count(DISTINCT source) AS sources, count(*) FILTER (WHERE l.quality = 1) AS kept, count(*) FILTER (WHERE l.doc_id IS NULL) AS unlinked, CASE WHEN count(*) = 0 THEN 0.0 ELSE round(100.0 * count(*) FILTER (WHERE l.quality = 1) / count(*), 2) END AS kept_percent FROM documents d LEFT JOIN labels l USING (doc_id)")
 def report_counters(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels").withColumn("linked", F.lit(True)), "doc_id", "left")
-    n, kept = F.count(F.lit(1)), F.count_if(F.col("quality") == 1)
-    return rows.agg(n.alias("postings"), F.count_distinct("source").alias("sources"), kept.alias("kept"), F.count_if(F.col("linked").isNull()).alias("unlinked"), F.when(n == 0, F.lit(0.0)).otherwise(F.round(kept * 100.0 / n, 2)).alias("kept_percent"))
+    return report.counters(rows, "source", F.col("quality") == 1, F.col("linked").isNotNull())
 
 
 def _masks() -> list[Column]:
@@ -228,17 +226,14 @@ def _masks() -> list[Column]:
 @query(f"""WITH g AS (SELECT source || '/' || lang AS logical_id, max(CASE WHEN n_chars > 4000 THEN 0 ELSE 1 END) AS m1, max(CASE WHEN n_chars > 4000 OR contains({LOWER.format('text')}, 'idiot') THEN 0 ELSE 1 END) AS m2, max(CASE WHEN n_chars > 4000 OR contains({LOWER.format('text')}, 'idiot') OR lang = 'es' THEN 0 ELSE 1 END) AS m3 FROM documents GROUP BY 1)
 SELECT count(*) AS eligible, count(*) FILTER (WHERE m1 = 0) AS first_removed, count(*) FILTER (WHERE m1 = 1 AND m2 = 0) AS second_removed, count(*) FILTER (WHERE m2 = 1 AND m3 = 0) AS third_removed, count(*) FILTER (WHERE m3 = 1) AS remaining FROM g""")
 def funnel_incremental(spark, d):
-    """Cumulative masks in one pass: an entity stays while any of its rows does."""
     a, b, c = _masks()
-    stays = lambda mask: F.max(F.when(mask, 0).otherwise(1))
-    groups = table(spark, d, "documents").groupBy(F.concat_ws("/", "source", "lang").alias("logical_id")).agg(stays(a).alias("m1"), stays(a | b).alias("m2"), stays(a | b | c).alias("m3"))
-    return groups.agg(F.count(F.lit(1)).alias("eligible"), F.count_if(F.expr("m1 = 0")).alias("first_removed"), F.count_if(F.expr("m1 = 1 and m2 = 0")).alias("second_removed"), F.count_if(F.expr("m2 = 1 and m3 = 0")).alias("third_removed"), F.count_if(F.expr("m3 = 1")).alias("remaining"))
+    return report.funnel(table(spark, d, "documents"), F.concat_ws("/", "source", "lang"), {"first_removed": a, "second_removed": b, "third_removed": c})
 
 
 @query(f"SELECT count(*) FILTER (WHERE n_chars > 4000 AND contains({LOWER.format('text')}, 'idiot')) AS long_and_rude, count(*) FILTER (WHERE n_chars > 4000 AND lang = 'es') AS long_and_es, count(*) FILTER (WHERE contains({LOWER.format('text')}, 'idiot') AND lang = 'es') AS rude_and_es FROM documents")
 def pair_overlap(spark, d):
     a, b, c = _masks()
-    return table(spark, d, "documents").agg(F.count_if(a & b).alias("long_and_rude"), F.count_if(a & c).alias("long_and_es"), F.count_if(b & c).alias("rude_and_es"))
+    return report.overlaps(table(spark, d, "documents"), {"long": a, "rude": b, "es": c})
 
 
 @query("SELECT CASE WHEN doc_id % 11 = 0 THEN 'deleted' WHEN doc_id % 11 = 1 THEN 'new' WHEN doc_id % 11 = 2 THEN 'text' WHEN doc_id % 11 = 3 THEN 'screen' WHEN doc_id % 11 = 4 THEN 'metadata' ELSE 'same' END AS change, count(*) AS n FROM documents GROUP BY 1")
@@ -253,7 +248,7 @@ def incremental_change_class(spark, d):
 
 @query("SELECT event_id, strftime(ts - INTERVAL 8 HOUR, '%Y-%m-%d %I:%M %p') AS shown FROM events")
 def display_fixed_offset(spark, d):
-    return table(spark, d, "events").select("event_id", F.date_format(F.col("ts") - F.expr("INTERVAL 8 HOURS"), "yyyy-MM-dd hh:mm a").alias("shown"))
+    return table(spark, d, "events").select("event_id", report.shown_time(F.col("ts")).alias("shown"))
 
 
 @query("SELECT event_id, ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AS in_range FROM events")
@@ -263,4 +258,64 @@ def epoch_range_guard(spark, d):
 
 @query(r"SELECT doc_id, left(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')), 320) AS shown FROM documents")
 def description_preview(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.substring(collapse(F.col("text")), 1, 320).alias("shown"))
+    return table(spark, d, "documents").select("doc_id", report.shown(F.col("text")).alias("shown"))
+
+
+CATALOG = """WITH p AS (SELECT d.source || '/' || d.lang AS g, d.doc_id, d.text, d.n_chars, l.quality IS NOT NULL AS active, CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 ELSE 1 END AS r FROM documents d LEFT JOIN labels l USING (doc_id)),
+m AS (SELECT DISTINCT g FROM p WHERE active AND contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'idiot')),
+e AS (SELECT g AS id, arg_min('t' || doc_id, (CASE WHEN active THEN -r ELSE 0 END) * 1000000000000 + doc_id) AS title, min(n_chars) AS first_seen, max(n_chars) AS last_seen, CASE max(r) FILTER (WHERE active) WHEN 2 THEN 'keep' WHEN 1 THEN 'defer' ELSE 'exclude' END AS outcome FROM p WHERE g IN (FROM m) GROUP BY g) """
+
+
+def _catalog(spark: SparkSession, d: str) -> catalog.Catalog:
+    """Documents as a catalog: an entity for each source and language, labels as status, times in seconds of n_chars."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("source"), F.lit("all").alias("source_scope"), F.col("doc_id").alias("source_job_id"), F.col("lang").alias("company"), F.concat(F.lit("t"), "doc_id").alias("title"), F.col("text").alias("description"), F.lit(None).cast("string").alias("location"), F.lit("").alias("job_url"), F.lit("").alias("apply_url"), F.lit(None).cast("timestamp").alias("posted_at"), F.lit(None).cast("string").alias("employment_type"), F.lit(None).cast("string").alias("workplace_type"))
+    state = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("source", F.lit("all").alias("source_scope"), F.col("doc_id").alias("source_job_id"), F.when(F.col("quality").isNotNull(), "active").otherwise("inactive").alias("status"), F.timestamp_seconds("n_chars").alias("first_seen_at"), F.timestamp_seconds("n_chars").alias("last_seen_at"))
+    links = table(spark, d, "documents").select("source", F.lit("all").alias("source_scope"), F.col("doc_id").alias("source_job_id"), F.concat_ws("/", "source", "lang").alias("logical_job_id"))
+    return catalog.Catalog(docs, state, links)
+
+
+def _search(spark: SparkSession, d: str) -> catalog.Results:
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("_id"), "quality", "toxic")
+    outcome = F.when(F.col("toxic") == 1, "exclude").when(F.col("quality") == 1, "keep").otherwise("defer")
+
+    def judge(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, F.col("source_job_id") == F.col("_id"), "left").withColumns({"outcome": outcome, "reasons": F.array(F.lit("label"))}).drop("_id", "quality", "toxic")
+
+    return catalog.search_catalog(_catalog(spark, d), judge, catalog.CatalogCriteria(keywords="idiot", outcome="all", sort="title"))
+
+
+@query(CATALOG + "SELECT id, title, first_seen, last_seen, outcome FROM e")
+def catalog_search(spark, d):
+    """All entities that a search matches."""
+    return _search(spark, d).matched.select("id", "title", F.unix_seconds("first_seen").alias("first_seen"), F.unix_seconds("last_seen").alias("last_seen"), "outcome")
+
+
+@query(CATALOG + ", s AS (SELECT id, title FROM e ORDER BY translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), split_part(id, '/', 2), id LIMIT 25) SELECT s.id, s.title, count(*) AS n_postings, min(p.doc_id) AS first_posting FROM s JOIN p ON p.g = s.id GROUP BY s.id, s.title")
+def catalog_page(spark, d):
+    """The first page of the same search with its postings."""
+    return _search(spark, d).page.select("id", "title", F.size("representations").cast("long").alias("n_postings"), F.array_min(F.transform("representations", lambda r: r["source_job_id"])).alias("first_posting"))
+
+
+@query("SELECT doc_id, count(*) AS n_clauses, max(length(c)) AS longest FROM (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[\n.!?]+'), lambda c: trim(regexp_replace(regexp_replace(c, '^[ \-•\t]+|[ \-•\t]+$', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'))), lambda c: c <> '')) AS c FROM documents) GROUP BY doc_id")
+def clause_split(spark, d):
+    parts = table(spark, d, "documents").select("doc_id", F.explode(F.filter(occupation.clauses(F.col("text")), lambda c: c != "")).alias("c"))
+    return parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_clauses"), F.max(F.length("c")).cast("long").alias("longest"))
+
+
+@query("SELECT doc_id, c AS duty FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\n.!?]+'), lambda c: trim(regexp_replace(regexp_replace(c, '^[ \-•\t]+|[ \-•\t]+$', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'))), lambda c: regexp_matches(c, '(?i)idiot|license') AND NOT regexp_matches(regexp_extract(c, '(?i)^(.*?)(?:idiot|license)', 1), '(?i)not|never'))[1] AS c FROM documents) WHERE c IS NOT NULL")
+def duty_match(spark, d):
+    """The first clause that names a term with no negation before it."""
+    parts = occupation.clauses(F.col("text"))
+    named = F.filter(parts, lambda c: c.rlike("(?i)idiot|license") & ~F.get(F.split(c, "(?i)idiot|license", 2), F.lit(0)).rlike("(?i)not|never"))
+    return table(spark, d, "documents").select("doc_id", F.get(named, F.lit(0)).alias("duty")).filter("duty is not null")
+
+
+@query("SELECT event_type AS kind, CASE event_type WHEN 'click' THEN 'contract' WHEN 'view' THEN 'full_time' WHEN 'purchase' THEN 'part_time' END AS class, count(*) AS n FROM events GROUP BY ALL")
+def metadata_map(spark, d):
+    """Event types as exact aliases of classes, by a map in the projection."""
+    return table(spark, d, "events").select(F.col("event_type").alias("kind"), metadata.alias(F.col("event_type"), {"click": "contract", "view": "full_time", "purchase": "part_time"}).alias("class")).groupBy("kind", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(None)
+def html_text(spark, d):
+    return table(spark, d, "pages").select("page_id", html.greenhouse_text(F.col("html")).alias("text"))
