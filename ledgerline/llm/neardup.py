@@ -161,6 +161,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Shingles that one document of the rest has alone.
     held = sets.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
     alone = held.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c")).filter("c = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    # An id with several sets has none alone: its counts would be those of all its sets.
+    alone = alone.join(sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "doc_id", "left_anti")
     able = rest.join(alone, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
     able = scratch.keep(able, "able")
     purest = able.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "doc_id", "n", "own", "component")).alias("hub"))
@@ -171,9 +173,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hubs = left.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "doc_id")).alias("h")).select("key", F.col("h.doc_id").alias("hub"))
     left = scratch.keep(left.join(hubs, "key"), "hubbed")
     sized = left.select("doc_id", "hub").distinct().join(sets.select("doc_id", "shingles"), "doc_id").join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
-    sized = scratch.keep(sized.groupBy("doc_id", "hub").agg(F.max(F.size(F.array_intersect("shingles", "of_hub"))).cast("long").alias("common")), "sized")
-    # Of what is not its own, the part that the hub has, and the rest.
-    left = left.join(sized, ["doc_id", "hub"]).withColumn("inner", F.least("common", F.col("n") - F.col("own"))).withColumn("outer", F.col("n") - F.col("own") - F.col("inner"))
+    # Written before it is grouped, so that AQE can split the join of a hub of very many copies.
+    sized = scratch.keep(sized.select("doc_id", "hub", F.size(F.array_intersect("shingles", "of_hub")).cast("long").alias("common")), "sized")
+    sized = sized.groupBy("doc_id", "hub").agg(F.max("common").alias("most"), F.min("common").alias("least"))
+    # Of what is not its own, the most that the hub may have, and the most of the rest.
+    free = F.col("n") - F.col("own")
+    left = left.join(sized, ["doc_id", "hub"]).withColumns({"inner": F.least("most", free), "outer": free - F.least("least", free)})
     left = left.join(members.select("doc_id", "halves"), "doc_id")
 
     def same(first: int) -> Column:
