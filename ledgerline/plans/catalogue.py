@@ -296,13 +296,13 @@ def catalog_page(spark, d):
     return _search(spark, d).page.select("id", "title", F.size("representations").cast("long").alias("n_postings"), F.array_min(F.transform("representations", lambda r: r["source_job_id"])).alias("first_posting"))
 
 
-@query("SELECT doc_id, count(*) AS n_clauses, max(length(c)) AS longest FROM (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[\n.!?]+'), lambda c: trim(regexp_replace(regexp_replace(c, '^[ \-•\t]+|[ \-•\t]+$', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'))), lambda c: c <> '')) AS c FROM documents) GROUP BY doc_id")
+@query("SELECT doc_id, count(*) AS n_clauses, max(length(c)) AS longest FROM (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[\n.!?]+'), lambda c: trim(regexp_replace(regexp_replace(c, '^[ \\-•\t]+|[ \\-•\t]+$', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'))), lambda c: c <> '')) AS c FROM documents) GROUP BY doc_id")
 def clause_split(spark, d):
     parts = table(spark, d, "documents").select("doc_id", F.explode(F.filter(occupation.clauses(F.col("text")), lambda c: c != "")).alias("c"))
     return parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_clauses"), F.max(F.length("c")).cast("long").alias("longest"))
 
 
-@query("SELECT doc_id, c AS duty FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\n.!?]+'), lambda c: trim(regexp_replace(regexp_replace(c, '^[ \-•\t]+|[ \-•\t]+$', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'))), lambda c: regexp_matches(c, '(?i)idiot|license') AND NOT regexp_matches(regexp_extract(c, '(?i)^(.*?)(?:idiot|license)', 1), '(?i)not|never'))[1] AS c FROM documents) WHERE c IS NOT NULL")
+@query("SELECT doc_id, c AS duty FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\n.!?]+'), lambda c: trim(regexp_replace(regexp_replace(c, '^[ \\-•\t]+|[ \\-•\t]+$', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'))), lambda c: regexp_matches(c, '(?i)idiot|license') AND NOT regexp_matches(regexp_extract(c, '(?i)^(.*?)(?:idiot|license)', 1), '(?i)not|never'))[1] AS c FROM documents) WHERE c IS NOT NULL")
 def duty_match(spark, d):
     """The first clause that names a term with no negation before it."""
     parts = occupation.clauses(F.col("text"))
