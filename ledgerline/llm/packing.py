@@ -97,7 +97,13 @@ def _library_ids(path: str) -> Cache:
     tokenize = vocab.model.tokenize
     words = Cache(lambda word: array("I", [t.id for t in tokenize(word)]).tobytes())
     one = lambda w: array("I", [w]).tobytes() if isinstance(w, int) else words[w]
-    return Cache(lambda chunk: b"".join([one(w) for w in vocab.words(chunk)]))
+
+    def made(chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters alone are one word
+            return words[chunk.lower().decode()]
+        return b"".join([one(w) for w in vocab.words(chunk)])
+
+    return Cache(made)
 
 
 @lru_cache(maxsize=2)
