@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, bpe_codec, neardup, packing, quality, sharding, substring, token_counts, toxicity, warc
+from ledgerline.llm import alignment, ann, bpe_codec, divergence, neardup, orc_ids, packing, quality, sharding, substring, token_counts, toxicity, warc
+from ledgerline.llm.scratch import new_folder
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -69,8 +70,22 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = orc_ids.write(table(spark, sf_dir, "documents"), new_folder(spark, "orc"), public_tokenizers.path(WORD_BPE))
+    return orc_ids.digests(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op4_fingerprint_index, op5_warc_salvage, op6_rendezvous_shards, op7_dynamic_packing, op8_tensored_minhash, op9_ftrl_toxicity, op10_collision_counting)
+    f.__name__: f for f in (op1_token_counts, op2_bpe_codec, op3_quality_rules, op4_fingerprint_index, op5_warc_salvage, op6_rendezvous_shards, op7_dynamic_packing, op8_tensored_minhash, op9_ftrl_toxicity, op10_collision_counting, op11_source_divergence, op12_orc_ids, op13_token_alignment)
 }
 
 W = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -120,4 +135,18 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y USING (t) JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * count(*) >= 85 * (nx.n + ny.n - count(*))),
 c AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT l.b, c.o FROM c JOIN l ON l.a = c.doc_id WHERE c.o < l.b)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(c.o) AS component_id, d.doc_id = min(c.o) AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n""",
+    "op11_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n) AS size FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, coalesce(sum(n), 0) AS size FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.size + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (l.size + 5 * l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) JOIN s USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o) WHERE part = 'pair' OR rank <= 50""",
 }
