@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import ascii_fold, contains_term
-from ledgerline.operators.outcomes import OUTCOMES, outcome_of, rank
+from ledgerline.operators.outcomes import OUTCOMES, active_priority, outcome_of
 from ledgerline.operators.search import PAGE_SIZES, SearchError, keyword_match, parse_keywords
 
 KEYS = ["source", "source_scope", "source_job_id"]
@@ -129,12 +129,11 @@ def entities(postings: DataFrame) -> DataFrame:
     """One row for each logical entity of judged postings (KEYS, title, company, status, outcome and times).
 
     Title and company are those of the first posting, by key, of the best active outcome, or of the first
-    posting if none is active. A least struct is combined on the map side, so a large entity is no task of its own.
+    posting of all if that is exclude or none is active. A least struct is combined on the map side, so a large entity is no task of its own.
     """
     active = F.col("status") == "active"
-    priority = F.when(active, rank(F.col("outcome"), strict=False)).otherwise(F.lit(-1))
-    # Active outcomes of the lowest rank do not go before the first posting of all.
-    first = F.struct((-F.greatest(priority, F.lit(0))).alias("p"), *KEYS, "title", "company")
+    priority = active_priority(F.col("status"), F.col("outcome"))
+    first = F.struct((-priority).alias("p"), *KEYS, "title", "company")
     found = postings.groupBy("logical_job_id").agg(
         F.min(first).alias("f"), F.min("first_seen_at").alias("first_seen"), F.max("last_seen_at").alias("last_seen"),
         F.max(F.when(active, priority)).alias("r"), F.min(F.when(active, F.col("posted_at"))).alias("posted_at"),

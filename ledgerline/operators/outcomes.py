@@ -21,6 +21,11 @@ def outcome_of(value: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, OUTCOMES)), F.coalesce(value, F.lit(0)) + 1)
 
 
+def active_priority(status: Column, outcome: Column) -> Column:
+    """The rank by which an entity's representative is chosen. Inactive rows rank like excluded ones, so that among these the first key counts."""
+    return F.when(status == "active", rank(outcome, strict=False)).otherwise(F.lit(0))
+
+
 def combined(rejected: Column, screened: Column) -> Column:
     return F.when(rejected, F.lit("exclude")).otherwise(screened)
 
@@ -33,12 +38,12 @@ def by_logical(rows: DataFrame) -> DataFrame:
 def summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each logical_id of postings (keys, status, outcome, first_seen, last_seen, posted_at).
 
-    The representative is the first row, by keys, of the highest priority among active rows; without an
-    active one, the first row. Only active rows count for the outcome and posted_at. A least struct
+    The representative is the first row, by keys, of the highest priority among active rows; where that is
+    exclude, or none is active, the first row of all. Only active rows count for the outcome and posted_at. A least struct
     replaces the ranked window, so that a large entity is combined on the map side.
     """
     active = F.col("status") == "active"
-    priority = F.when(active, rank(F.col("outcome"), strict=False)).otherwise(F.lit(-1))
+    priority = active_priority(F.col("status"), F.col("outcome"))
     first = F.struct((-priority).alias("p"), *keys, "title")
     return rows.groupBy("logical_id").agg(
         F.min(first).alias("f"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),

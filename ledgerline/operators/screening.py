@@ -36,12 +36,38 @@ def enforced(outcome: Column, action: Column) -> Column:
     return F.when(action == "exclude", F.lit("exclude")).otherwise(outcome)
 
 
-def screen(rows: DataFrame, *, title: str = "title", description: str = "description", assessment: str | None = None) -> DataFrame:
+def item(field: str, value: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), value.alias("value"))
+
+
+def summary(assessment: Column, action: Column) -> Column:
+    """Where a posting can be worked on, from the action: never a second judgement."""
+    home = F.when(assessment["work_mode"] == "remote", "us_remote").otherwise("us")
+    return F.when(action == "exclude", "foreign_only").when(action == "pass", home).otherwise("uncertain")
+
+
+def _geographic_proof(found: Column, action: Column) -> list[Column]:
+    """Arrays of evidence: the decision, its proofs, and the names in it."""
+    head = F.array(item("geo_h.action", action), *(item(f"geo_h.{k}", found[n]) for k, n in (("assessment", "outcome"), ("reason", "reason"), ("confidence", "confidence"), ("work_mode", "work_mode"))))
+    proofs = [_prefixed(found[n], p) for n, p in (("evidence", "geo_h."), ("us_exceptions", "geo_h.us_exception."), ("foreign_restrictions", "geo_h.foreign_restriction."))]
+    names = (("countries", "country"), ("regions", "region"), ("conflicts", "conflict"), ("uncertainty_details", "uncertainty"))
+    return [head, *proofs, *(_items(found[n], f"geo_h.{k}") for n, k in names)]
+
+
+def _prefixed(proofs: Column, prefix: str) -> Column:
+    return F.transform(proofs, lambda e: F.struct(F.concat(F.lit(prefix), e["field"]).alias("field"), e["value"].alias("value")))
+
+
+def _items(values: Column, field: str) -> Column:
+    return F.transform(values, lambda v: item(field, v))
+
+
+def screen(rows: DataFrame, *, title: str = "title", description: str = "description", assessment: str | None = None, whole: bool = False) -> DataFrame:
     """The rows with screening (outcome, reasons, evidence), reasons in order: test posting, description, occupations, geography.
 
-    One expression, so that a filter on the outcome screens once.
+    One expression, so that a filter on the outcome screens once. With `whole`, the assessment's proofs are
+    evidence as well, and `geography` sums it up.
     """
-    item = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("value"))
 
     def judged(x: Column) -> Column:
         found, absent, jobs = x["demo"].isNotNull(), x["missing"], x["jobs"]
@@ -52,10 +78,13 @@ def screen(rows: DataFrame, *, title: str = "title", description: str = "descrip
             F.flatten(F.transform(jobs, lambda j: F.concat(F.array(item("title", j["title"])), F.transform(j["duties"], lambda d: item("description", d))))),
         ]
         if assessment:
-            action = enforcement(F.col(assessment))
+            found = F.col(assessment)
+            action = enforcement(found)
             outcome = enforced(outcome, action)
-            reasons.append(F.array(F.concat(F.lit("geo_h:"), action, F.lit(":"), F.col(assessment)["reason"])))
-        return F.struct(outcome.alias("outcome"), F.concat(*reasons).alias("reasons"), F.concat(*proof).alias("evidence"))
+            reasons.append(F.array(F.concat(F.lit("geo_h:"), action, F.lit(":"), found["reason"])))
+            proof += _geographic_proof(found, action) if whole else []
+        made = [outcome.alias("outcome"), F.concat(*reasons).alias("reasons"), F.concat(*proof).alias("evidence")]
+        return F.struct(*made, *([summary(found, action).alias("geography")] if assessment and whole else []))
 
     text = collapse(F.coalesce(F.col(description), F.lit("")))
     seen = let(text, lambda t: F.struct(t.alias("text"), demo(t).alias("demo"), missing(t).alias("missing"), matches(F.col(title), F.col(description)).alias("jobs")))

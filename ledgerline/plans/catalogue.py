@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import html
 from ledgerline.functions.text import ascii_fold, canonical_url, contains_term
-from ledgerline.operators import catalog, lifecycle, metadata, occupation, outcomes, policy, report, search, sync
+from ledgerline.operators import catalog, geography, judging, lifecycle, metadata, occupation, outcomes, policy, report, screening, search, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,6 +99,15 @@ def lifecycle_reconcile(spark, d):
     return lifecycle.replay(_log(spark, d))
 
 
+@query(LOG + "SELECT s.scope, s.id, CASE WHEN t.next_at IS NULL THEN 'active' ELSE 'inactive' END AS status, s.first_seen, s.last_seen, t.next_at AS inactive_at FROM (SELECT scope, id, min(seen) AS first_seen, max(seen) AS last_seen FROM log GROUP BY ALL) s JOIN times t ON t.scope = s.scope AND t.seen = s.last_seen")
+def lifecycle_last_snapshot(spark, d):
+    """The state before each scope's last snapshot, and that snapshot reconciled into it."""
+    log = _log(spark, d)
+    headers = log.groupBy("scope").agg(F.max("at").alias("at"))
+    before = log.join(headers.withColumnRenamed("at", "last_at"), "scope").filter("at < last_at").select("scope", "id", "at")
+    return lifecycle.reconcile(lifecycle.replay(before), log.join(headers, ["scope", "at"]).select("scope", "id"), headers)
+
+
 @query(LOG + "SELECT scope, id, count(*) FILTER (WHERE gap > 1) AS returns FROM (SELECT l.scope, l.id, t.n - lag(t.n) OVER (PARTITION BY l.scope, l.id ORDER BY t.n) AS gap FROM log l JOIN times t USING (scope, seen)) GROUP BY ALL HAVING count(*) FILTER (WHERE gap > 1) > 0")
 def reactivation_history(spark, d):
     return lifecycle.reactivations(_log(spark, d))
@@ -152,6 +161,10 @@ def cross_source_duplicates(spark, d):
 POLICY = policy.Policy(title_exclude=("src1",), description_include=("the", "der", "la"), description_exclude=("idiot", "license"))
 
 
+#: The same on a catalog's columns; its companies are languages.
+CATALOG_POLICY = policy.Policy(company_exclude=("ES",), description_include=POLICY.description_include, description_exclude=POLICY.description_exclude)
+
+
 def _decided(spark: SparkSession, d: str) -> DataFrame:
     return policy.decide(table(spark, d, "documents").select("doc_id", "source", "text"), POLICY, title="source", company=None, description="text")
 
@@ -178,7 +191,7 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left").select(F.concat_ws("/", "source", "lang").alias("logical_id"), "doc_id", F.concat(F.lit("t"), "doc_id").alias("title"), F.when(F.col("quality").isNotNull(), "active").otherwise("inactive").alias("status"), outcome.alias("outcome"), F.col("n_chars").alias("first_seen"), F.col("n_chars").alias("last_seen"), F.col("n_chars").alias("posted_at"))
 
 
-POSTINGS = "WITH p AS (SELECT d.source || '/' || d.lang AS logical_id, d.doc_id, 't' || d.doc_id AS title, l.quality IS NOT NULL AS active, CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 ELSE 1 END AS r, d.n_chars FROM documents d LEFT JOIN labels l USING (doc_id)), k AS (SELECT *, CASE WHEN active THEN r ELSE -1 END AS priority FROM p) "
+POSTINGS = "WITH p AS (SELECT d.source || '/' || d.lang AS logical_id, d.doc_id, 't' || d.doc_id AS title, l.quality IS NOT NULL AS active, CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 ELSE 1 END AS r, d.n_chars FROM documents d LEFT JOIN labels l USING (doc_id)), k AS (SELECT *, CASE WHEN active THEN r ELSE 0 END AS priority FROM p) "
 
 
 @query(POSTINGS + "SELECT logical_id, CASE max(r) WHEN 2 THEN 'keep' WHEN 1 THEN 'defer' ELSE 'exclude' END AS outcome FROM p WHERE active GROUP BY logical_id")
@@ -194,7 +207,7 @@ def logical_summary(spark, d):
 @query(POSTINGS + "SELECT logical_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY logical_id ORDER BY priority DESC, doc_id) AS rn FROM k) WHERE rn = 1")
 def representative(spark, d):
     rows = _postings(spark, d)
-    priority = F.when(F.col("status") == "active", outcomes.rank(F.col("outcome"))).otherwise(F.lit(-1))
+    priority = outcomes.active_priority(F.col("status"), F.col("outcome"))
     return outcomes.representative(rows.withColumn("priority", priority), [F.desc("priority"), F.asc("doc_id")]).select("logical_id", "doc_id")
 
 
@@ -290,6 +303,24 @@ def catalog_search(spark, d):
     return _search(spark, d).matched.select("id", "title", F.unix_seconds("first_seen").alias("first_seen"), F.unix_seconds("last_seen").alias("last_seen"), "outcome")
 
 
+JUDGED = REASONS.replace("SELECT doc_id, 'title' AS field, 'exclude_match' AS kind, 'src1' AS term FROM documents WHERE contains(lower(source), 'src1')", "SELECT doc_id, 'company' AS field, 'exclude_match' AS kind, 'es' AS term FROM documents WHERE lang = 'es'") + """, p AS (SELECT d.source || '/' || d.lang AS g, d.doc_id, d.text, d.n_chars, l.quality IS NOT NULL AS active, CASE WHEN d.doc_id IN (SELECT doc_id FROM r) THEN 0 WHEN trim(d.text) = '' THEN 1 ELSE 2 END AS r FROM documents d LEFT JOIN labels l USING (doc_id)),
+m AS (SELECT DISTINCT g FROM p WHERE active AND (contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'idiot') OR contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'permission is'))) """
+
+
+@query(JUDGED + "SELECT g AS id, arg_min('t' || doc_id, (CASE WHEN active THEN -r ELSE 0 END) * 1000000000000 + doc_id) AS title, max(n_chars) AS last_seen, 'keep' AS outcome FROM p WHERE g IN (FROM m) GROUP BY g HAVING max(r) FILTER (WHERE active) = 2")
+def catalog_keep(spark, d):
+    """A search whose postings are judged by policy, screening and geography, and whose entities are kept."""
+    whole = _catalog(spark, d)
+    criteria = catalog.CatalogCriteria(keywords='idiot OR "permission is"', outcome="keep")
+    return catalog.search_catalog(whole, judging.judge(whole, CATALOG_POLICY), criteria).matched.select("id", "title", F.unix_seconds("last_seen").alias("last_seen"), "outcome")
+
+
+@query(JUDGED + "SELECT g AS logical_job_id, CASE max(r) WHEN 2 THEN 'keep' WHEN 1 THEN 'defer' ELSE 'exclude' END AS outcome FROM p WHERE active GROUP BY g")
+def screened_catalog(spark, d):
+    """The outcome of each entity over all its active postings."""
+    return judging.logical_outcomes(judging.screen_catalog(_catalog(spark, d), CATALOG_POLICY)).withColumnRenamed("logical_id", "logical_job_id")
+
+
 @query(CATALOG + ", s AS (SELECT id, title FROM e ORDER BY translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), split_part(id, '/', 2), id LIMIT 25) SELECT s.id, s.title, count(*) AS n_postings, min(p.doc_id) AS first_posting FROM s JOIN p ON p.g = s.id GROUP BY s.id, s.title")
 def catalog_page(spark, d):
     """The first page of the same search with its postings."""
@@ -297,17 +328,57 @@ def catalog_page(spark, d):
 
 
 @query("SELECT doc_id, count(*) AS n_clauses, max(length(c)) AS longest FROM (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[\n.!?]+'), lambda c: trim(regexp_replace(regexp_replace(c, '^[ \\-•\t]+|[ \\-•\t]+$', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'))), lambda c: c <> '')) AS c FROM documents) GROUP BY doc_id")
-def clause_split(spark, d):
+def occupation_clauses(spark, d):
     parts = table(spark, d, "documents").select("doc_id", F.explode(F.filter(occupation.clauses(F.col("text")), lambda c: c != "")).alias("c"))
     return parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_clauses"), F.max(F.length("c")).cast("long").alias("longest"))
 
 
-@query("SELECT doc_id, c AS duty FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\n.!?]+'), lambda c: trim(regexp_replace(regexp_replace(c, '^[ \\-•\t]+|[ \\-•\t]+$', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'))), lambda c: regexp_matches(c, '(?i)idiot|license') AND NOT regexp_matches(regexp_extract(c, '(?i)^(.*?)(?:idiot|license)', 1), '(?i)not|never'))[1] AS c FROM documents) WHERE c IS NOT NULL")
+@query(r"""SELECT doc_id, count(*) AS n_clauses, max(length(c)) AS longest FROM (SELECT doc_id, unnest(list_filter(list_transform(
+regexp_split_to_array(regexp_replace(replace(text, 'U.S.', 'United States'), '([.!?])\s+([A-Z])', '\1' || chr(10) || '\2', 'g'), '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]'),
+lambda c: trim(regexp_replace(regexp_replace(c, '^[ \-•\t]+|[ \-•\t]+$', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'))), lambda c: c <> '')) AS c FROM documents) GROUP BY doc_id""")
+def clause_split(spark, d):
+    """Lines and sentences in which geography looks for mentions."""
+    parts = table(spark, d, "documents").select("doc_id", F.explode(geography.clauses(F.col("text"))).alias("c"))
+    return parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_clauses"), F.max(F.length("c")).cast("long").alias("longest"))
+
+
+@query(r"""SELECT doc_id, c AS duty FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\n.!?]+'), lambda c: trim(regexp_replace(regexp_replace(c, '^[ \-•\t]+|[ \-•\t]+$', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'))),
+lambda c: regexp_matches(c, '(?i)idiot|license') AND NOT regexp_matches(regexp_extract(c, '(?i)^(.*?)(?:idiot|license)', 1), '(?i)(^|[^\pL\pN_])(not|never|no)([^\pL\pN_]|$)'))[1] AS c FROM documents) WHERE c IS NOT NULL""")
 def duty_match(spark, d):
     """The first clause that names a term with no negation before it."""
-    parts = occupation.clauses(F.col("text"))
-    named = F.filter(parts, lambda c: c.rlike("(?i)idiot|license") & ~F.get(F.split(c, "(?i)idiot|license", 2), F.lit(0)).rlike("(?i)not|never"))
-    return table(spark, d, "documents").select("doc_id", F.get(named, F.lit(0)).alias("duty")).filter("duty is not null")
+    return table(spark, d, "documents").select("doc_id", occupation.duty(occupation.clauses(F.col("text")), "idiot|license").alias("duty")).filter("duty is not null")
+
+
+#: Names that a nation's number stands for: the home country, foreign ones, and one that the gazetteer does not know.
+NAMES = ("UNITED STATES", "KENYA", "IRAN", "PERU", "SAUDI ARABIA")
+NATIONS = f"SELECT *, n = 'UNITED STATES' AS us, n NOT IN ('UNITED STATES', 'IRAN') AS known FROM (SELECT c_custkey, c_mktsegment AS m, ({list(NAMES)})[c_nationkey % 5 + 1] AS n FROM customer)"
+
+
+@query(f"""WITH c AS ({NATIONS}), r AS (SELECT *, CASE WHEN us THEN 'US_or_worldwide_work_option' WHEN NOT known THEN 'unknown_work_eligibility' WHEN m = 'BUILDING' THEN 'structured_foreign_work_location'
+WHEN m = 'AUTOMOBILE' THEN 'foreign_tag_with_unclear_remote_boundary' WHEN m = 'MACHINERY' THEN 'structured_foreign_remote_boundary' WHEN m = 'HOUSEHOLD' THEN 'possible_country_market_tag' ELSE 'explicit_foreign_employee_location' END AS reason FROM c)
+SELECT c_custkey, CASE WHEN us THEN 'keep' WHEN known AND m NOT IN ('AUTOMOBILE', 'HOUSEHOLD') THEN 'exclude' ELSE 'defer' END AS outcome, reason,
+CASE WHEN known THEN array_to_string(list_transform(string_split(lower(n), ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE '' END AS countries, CASE WHEN m IN ('AUTOMOBILE', 'MACHINERY') THEN 'remote' ELSE 'unspecified' END AS work_mode FROM r""")
+def geography_decisions(spark, d):
+    """Customers as postings of their nation: the segment decides how the nation is put."""
+    m, n = F.col("c_mktsegment"), F.element_at(F.array(*map(F.lit, NAMES)), F.col("c_nationkey") % 5 + 1)
+    place = F.when(m == "AUTOMOBILE", F.concat(F.lit("Remote - "), n)).when(m == "MACHINERY", F.concat(F.lit("Remote within "), n)).when(m != "FURNITURE", n)
+    text = F.when(m == "HOUSEHOLD", "Write as a freelancer.").when(m == "FURNITURE", F.concat(F.lit("Candidates must reside in "), n, F.lit("."))).otherwise("Fine work.")
+    rows = table(spark, d, "customer").select("c_custkey", F.lit("greenhouse").alias("source"), F.lit("Clerk").alias("title"), place.alias("location"), text.alias("description"), F.lit(None).cast("string").alias("payload_json"))
+    g = F.col("geography")
+    return geography.assess(rows).select("c_custkey", g["outcome"].alias("outcome"), g["reason"].alias("reason"), F.array_join(g["countries"], ",").alias("countries"), g["work_mode"].alias("work_mode"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_mktsegment AS m, c_acctbal > 9000 AS blank, c_acctbal < 0 AS denied FROM customer),
+j AS (SELECT *, CASE WHEN blank OR denied THEN '' WHEN m = 'BUILDING' THEN 'retail_store_operations' WHEN m = 'MACHINERY' THEN 'licensed_clinical_care' WHEN m = 'HOUSEHOLD' THEN 'food_service_operations' WHEN m = 'FURNITURE' THEN 'paid_survey_participation' ELSE '' END AS job FROM c)
+SELECT c_custkey, CASE WHEN job <> '' THEN 'exclude' WHEN blank THEN 'defer' ELSE 'keep' END AS outcome, CASE WHEN blank THEN 'insufficient_description' ELSE job END AS reasons FROM j""")
+def screening_outcomes(spark, d):
+    """Customers as postings: the segment gives the title, the balance the description."""
+    m, balance = F.col("c_mktsegment"), F.col("c_acctbal")
+    title = F.when(m == "BUILDING", "Cashier").when(m == "AUTOMOBILE", "Software Cashier").when(m == "MACHINERY", "Registered Nurse").when(m == "HOUSEHOLD", "Line cook").otherwise("Survey taker")
+    duties = "You process transactions. Provide good patient care! Bake fresh cookies\nComplete paid surveys"
+    text = F.when(balance > 9000, " tbd ").when(balance < 0, "You do not process transactions. Never provide patient care! No need to bake cookies\nDo not complete paid surveys").otherwise(duties)
+    rows = table(spark, d, "customer").select("c_custkey", title.alias("title"), text.alias("description"))
+    return screening.screen(rows).select("c_custkey", F.col("screening.outcome").alias("outcome"), F.array_join("screening.reasons", ",").alias("reasons"))
 
 
 @query("SELECT event_type AS kind, CASE event_type WHEN 'click' THEN 'contract' WHEN 'view' THEN 'full_time' WHEN 'purchase' THEN 'part_time' END AS class, count(*) AS n FROM events GROUP BY ALL")
