@@ -11,7 +11,10 @@ place with a member's magic bytes, or a version line in plain files, that opens
 there, and logs the bytes between as a quarantined gap (path, start, end, reason). Good records before
 and after a gap are recovered. A plain record's length is checked by the four bytes that must end it
 before the record is read, and headers have a greatest length, so that a damaged length costs one seek
-and not the rest of the file: the work is linear in the file, the memory that of one record.
+and not the rest of the file. Where a pattern comes next is remembered until it is passed, a header ends at
+the next version line, and a member must give its first bytes within OPENING: what a failed check has
+searched is not searched again, and the work is linear in the file. Only a place whose whole record can be
+read and then has a false digest costs the length of that record. The memory is that of one record.
 
 `read` gives records and gaps; `whole` fails on the first gap, for archives that must have none. Reading
 tasks are counted from the manifest's files and bytes.
@@ -44,6 +47,10 @@ MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
 #: Bytes inflated or searched at once, and the greatest length of a plain record's header.
 PIECE, HEADER_MOST = 1 << 16, 1 << 20
+#: Bytes of a member, its own header included, after which its first bytes must have come out.
+OPENING = 1 << 10
+#: What lies between members where a writer is asked for it: false openings of both kinds, and other bytes.
+JUNK = b"\x1f\x8b\x08\x00" + b"WARC/1.1\r\nX: 1\r\n\r\n" + b"\x1f\x8b\x08\x1f" + b"noise " * 20 + b"WARC/1.0\r\nContent-Length: 7\r\n\r\n"
 #: Bytes of archives that a reading task takes.
 TASK_BYTES = 256 << 20
 ROLL_BYTES = 64 << 20
@@ -90,12 +97,15 @@ class Damaged(Exception):
 
 def header(raw: bytes) -> tuple[dict[str, str], int]:
     """The fields, names in lower case, of a header without its empty line, and the length of the block."""
-    fields = {}
-    for line in raw.split(b"\r\n")[1:]:
+    fields, at = {}, raw.find(b"\r\n")
+    while at >= 0:
+        end = raw.find(b"\r\n", at + 2)
+        line = raw[at + 2 : end if end >= 0 else len(raw)]
         name, colon, value = line.partition(b":")
-        if not colon:
+        if not colon or line.startswith(VERSION[:5]):
             raise Damaged("bad header field")
         fields[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        at = end
     size = fields.get("content-length", "")
     if not (size.isascii() and size.isdigit()) or len(size) > 15:
         raise Damaged("bad Content-Length")
@@ -128,6 +138,7 @@ class _Window:
 
     def __init__(self, stream):
         self.stream, self.data, self.at, self.ended, self.origin = stream, b"", 0, False, 0
+        self.known: dict[bytes, tuple[int, int]] = {}  # of a pattern: a place of it, and up to where there is no earlier one
 
     @property
     def start(self) -> int:
@@ -155,32 +166,41 @@ class _Window:
         return found
 
     def find(self, what: bytes, within: int) -> int:
-        """How far ahead `what` begins, at most `within` bytes; -1 if it does not."""
+        """How far ahead `what` begins, if that is less than `within` bytes; -1 if not. Nothing is searched twice."""
+        place, seen = self.known.get(what, (-1, 0))
         size = PIECE
-        while True:
+        while place < self.start:
             full = self.want(min(size, within))
-            found = self.data.find(what, self.at, self.at + within)
-            if found >= 0:
-                return found - self.at
+            place = self.data.find(what, max(self.at, seen - self.origin))
+            if place >= 0:
+                place += self.origin
+                break
+            seen = self.origin + max(0, len(self.data) - len(what) + 1)
             if not full or size >= within:
-                return -1
+                break
             size *= 4
+        self.known[what] = place, seen
+        ahead = place - self.start
+        return ahead if 0 <= ahead < within else -1
 
 
 def _member(window: _Window) -> tuple[dict, int]:
     """The record of the gzip member that is next, and the member's length."""
-    inflater, out, used = zlib.decompressobj(31), [], 0
+    inflater, out, used, made = zlib.decompressobj(31), [], 0, 0
     while not inflater.eof:
         if not window.want(used + 1):
             raise Damaged("gzip member is cut off")
-        piece = window.data[window.at + used : window.at + used + PIECE]
+        piece = window.data[window.at + used : window.at + used + (PIECE if made else OPENING - used)]
         try:
             out.append(inflater.decompress(piece))
         except zlib.error as error:
             raise Damaged(f"bad gzip member: {error}") from None
         used += len(piece) - len(inflater.unused_data)
-        if len(out) == 1 and not out[0].startswith(VERSION[:7]) and len(out[0]) >= 7:
+        if made < 7 <= made + len(out[-1]) and not b"".join(out).startswith(VERSION[:7]):
             raise Damaged("no version line in the member")
+        made += len(out[-1])
+        if not made and used >= OPENING:
+            raise Damaged("nothing comes out of the member")
     raw = b"".join(out)
     if not raw.startswith(VERSION[:7]):
         raise Damaged("no version line in the member")
@@ -226,11 +246,11 @@ def salvage(stream, path: str) -> Iterator[dict]:
             window.at += 1
             while window.want(1):  # to the next place that opens a valid record
                 window.want(PIECE)
-                places = [p for p in (window.data.find(MAGIC, window.at), window.data.find(VERSION[:7], window.at)) if p >= 0]
+                places = [d for d in (window.find(MAGIC, window.left()), window.find(VERSION[:7], window.left())) if d >= 0]
                 if not places:
                     window.at = len(window.data) if window.ended else max(window.at + 1, len(window.data) - len(VERSION))
                     continue
-                window.at = min(places)
+                window.at += min(places)
                 try:
                     _next(window)
                     break
@@ -260,8 +280,11 @@ def plan(pages: DataFrame, *, id_col: str = "page_id", payload_col: str = "html"
     return rows.join(last, "_hex").withColumn("refers_to", F.when(revisits, F.col("_last"))).select("page_id", "url", "payload", "refers_to")
 
 
-def write(planned: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Writes the archives below a shared folder; gives the manifest (path, records, bytes), itself written there."""
+def write(planned: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES, junk: bytes = b"") -> DataFrame:
+    """Writes the archives below a shared folder; gives the manifest (path, records, bytes), itself written there.
+
+    junk goes before each member, for archives that have to be salvaged.
+    """
 
     def files(it):
         system, base = _open(folder)
@@ -281,7 +304,7 @@ def write(planned: DataFrame, folder: str, *, roll_bytes: int = ROLL_BYTES) -> D
                 if out is None:
                     path = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex}.warc.gz"
                     out, size, n = system.open_output_stream(f"{base}/{path}", compression=None), 0, 0
-                raw = member(record_bytes(row["page_id"], row["url"], row["payload"], digest(row["payload"]), row["refers_to"]))
+                raw = junk + member(record_bytes(row["page_id"], row["url"], row["payload"], digest(row["payload"]), row["refers_to"]))
                 out.write(raw)
                 size, n = size + len(raw), n + 1
                 if size >= roll_bytes:

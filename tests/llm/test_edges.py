@@ -4,6 +4,7 @@ import hashlib
 import io
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -273,6 +274,45 @@ def test_plain_salvage_is_linear():
     assert stream.taken < 3 * len(stream.getvalue())
 
 
+@pytest.mark.parametrize("unit", [warc.VERSION + b"\r\n", b"WARC/1.0 a: b\r\n", warc.MAGIC, warc.MAGIC + b"\x1f", warc.MAGIC + b"\x08name", warc.VERSION + b"\r\na: b\r\n\r\n", b"\r\n"])
+def test_time_of_salvage_is_linear(unit):
+    """Ten times the false openings take at most some twenty times as long, and no record behind them is lost."""
+    body = b"page"
+    last = warc.record_bytes(7, "http://h", body, warc.digest(body), None)
+    took = []
+    for n in (30_000, 300_000):
+        raw = unit * (n // len(unit)) + last
+        began = time.process_time()
+        found = list(warc.salvage(io.BytesIO(raw), "p"))
+        took.append(time.process_time() - began)
+        assert [r.get("page_id") for r in found] == [None, 7] and (found[0]["start"], found[0]["end"]) == (0, len(raw) - len(last))
+    assert took[1] < 20 * took[0] + 0.5
+
+
+def test_salvage_over_borders_of_chunks(monkeypatch):
+    """Small chunks and pieces give what large ones do, junk between the records or not."""
+    rng = random.Random(3)
+    records = [warc.record_bytes(k, "http://h", prose(rng, 1 + k).encode(), warc.digest(prose(random.Random(k), 1).encode()), None) for k in range(30)]
+    good = [warc.record_bytes(k, "http://h", b"x" * k, warc.digest(b"x" * k), None) for k in range(30)]
+    raw = b"".join((warc.JUNK if k % 3 else b"") + (warc.member(g) if k % 2 else g) + r for k, (g, r) in enumerate(zip(good, records, strict=True)))
+    wanted = list(warc.salvage(io.BytesIO(raw), "p"))
+    assert [r["page_id"] for r in wanted if "gap" not in r] == list(range(30))
+    for chunk, piece in ((7, 5), (64, 16), (1000, 1 << 16)):
+        monkeypatch.setattr(warc, "CHUNK", chunk)
+        monkeypatch.setattr(warc, "PIECE", piece)
+        assert list(warc.salvage(io.BytesIO(raw), "p")) == wanted
+
+
+def test_junk_between_members_through_spark(spark, tmp_path):
+    """All rows come back, as without junk, and each record has a gap before it."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    clean = warc.read(warc.write(warc.plan(pages), f"file://{tmp_path}/clean"), payloads=False)
+    found = warc.read(warc.write(warc.plan(pages), f"file://{tmp_path}/junk", junk=warc.JUNK), payloads=False).cache()
+    assert rows_of(found.filter("gap is null"), *names) == rows_of(warc.whole(clean), *names) and found.filter("gap is null").count() == pages.count() == found.filter("gap is not null").count()
+    assert found.filter("gap is not null and end - start <> " + str(len(warc.JUNK))).count() == 0
+
+
 @pytest.mark.parametrize("size", [0, 1, 7, 50])
 def test_salvage_of_short_and_foreign_files(size):
     assert [("gap" in r, r["start"], r["end"]) for r in warc.salvage(io.BytesIO(b"\x1f\x8b\x08WARC/1.x"[:size] * 1), "p")] == ([(True, 0, min(size, 11))] if size else [])
