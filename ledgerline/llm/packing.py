@@ -44,6 +44,7 @@ STEP = 64
 #: Tokens in a block.
 BLOCK = 400_000
 
+_CLOSING = b".,;:!?"
 _END = re.compile(r"[.!?]")
 
 
@@ -100,10 +101,13 @@ def _library_ids(path: str) -> Cache:
 
     def made(chunk: bytes) -> bytes:
         if chunk.isalpha():  # ASCII letters alone are one word
-            return words[chunk.lower().decode()]
+            return array("I", [t.id for t in tokenize(chunk.lower().decode())]).tobytes()
+        if chunk[-1] in _CLOSING and chunk[:-1].isalpha():  # and a mark behind them is another
+            return chunks[chunk[:-1]] + chunks[chunk[-1:]]
         return b"".join([one(w) for w in vocab.words(chunk)])
 
-    return Cache(made)
+    chunks = Cache(made)
+    return chunks
 
 
 @lru_cache(maxsize=2)
@@ -116,7 +120,11 @@ def sentence_stops(path: str) -> np.ndarray:
 
 
 def token_ids(raw: bytes | None, path: str, end_id: int) -> np.ndarray:
-    packed = b"".join(map(_library_ids(path).__getitem__, (raw or b"").split()))
+    raw = raw or b""
+    # Case is lost anyway; but special strings have theirs, and a mark that is put on a letter may compose with one case alone.
+    if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+        raw = raw.lower()
+    packed = b"".join(map(_library_ids(path).__getitem__, raw.split()))
     return np.append(np.frombuffer(packed, np.uint32), np.uint32(end_id))
 
 
