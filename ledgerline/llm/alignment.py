@@ -6,9 +6,10 @@ number of documents that hold it linked, over the whole corpus; a link is best i
 more.
 
 Texts are cut into units before a space or line feed that stands alone between characters that are no white
-space. No token of either vocabulary reaches across such a place (A's pre-tokens end there; B has no piece in
-which another character is followed by a space, or that holds a line feed), which is checked when a vocabulary
-is loaded, so units are tokenized and merged once and cached. Units whose tokens don't give their bytes send
+space, and between a word's letters and the marks around them. No token of either vocabulary reaches across such
+a place (A's pre-tokens end there; B has no piece in which another character is followed by a space, a letter
+stands beside a mark, or a line feed occurs), which is checked when a vocabulary is loaded, so units are tokenized
+and merged once and cached. Units whose tokens don't give their bytes send
 the whole text through the tokenizers.
 
 The documents of a task fall into blocks of about BLOCK tokens. A block writes its documents, each with its
@@ -28,6 +29,7 @@ import hashlib
 import json
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,24 +46,28 @@ from ledgerline.llm.vocab import BYTE_LETTERS
 #: Tokens of A in a block, units in a worker's cache, and the longest unit that is cached.
 BLOCK, CACHE_ENTRIES, LONGEST = 2_000_000, 300_000, 64
 
+#: Letters whose neighbours are looked at, and marks that no token has together with one; an apostrophe may be.
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Where a unit may end: before white space that stands alone, or at the end.
+_OVER = r"(?=[ \n]\S|\Z)"
 #: A unit goes on over any white space but one space or line feed before another character.
 _ON = r"(?:(?:\s{2,}|[^\S \n])\S*|[ \n]\Z)*"
-_UNITS = re.compile(rf"\A\s{{2,}}\S*{_ON}|[ \n]\S+{_ON}")
-
-
-def merge(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """Where groups close: how many tokens of A and of B end at or before each place at which both end."""
-    i = j = 0
-    out = []
-    while i < len(ends_a) and j < len(ends_b):
-        if ends_a[i] == ends_b[j]:
-            i, j = i + 1, j + 1
-            out.append((i, j))
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
-    return out
+_UNITS = re.compile(rf"\A\s{{2,}}\S*{_ON}|[ \n]?[{_LETTER}]+(?:(?=[{_MARK}])|{_OVER})|[{_MARK}]+(?:(?=[{_LETTER}])|{_OVER})|[ \n]?\S+{_ON}")
+_WORD = re.compile(rf"[ \n]?([{_LETTER}]+)")
+
+
+def merge(lengths_a: list[int], lengths_b: list[int]) -> Iterator[tuple[int, int]]:
+    """Where groups close: how many tokens of A and of B end at or before each place at which both end. The sums are equal."""
+    i = j = end_a = end_b = 0
+    n = len(lengths_a)
+    while i < n:
+        end_a, end_b, i, j = end_a + lengths_a[i], end_b + lengths_b[j], i + 1, j + 1
+        while end_a != end_b:
+            if end_a < end_b:
+                end_a, i = end_a + lengths_a[i], i + 1
+            else:
+                end_b, j = end_b + lengths_b[j], j + 1
+        yield i, j
 
 
 class Pair:
@@ -84,7 +90,8 @@ class Pair:
         if max(self.bytes_a) >= 1 << 16 or len(pieces) > 1 << 16:
             raise ValueError("ids over 65,535 do not fit the packed pairs")
         plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
-        self.splits = not any(re.search("[^▁]▁|\n", p) for p in plain)
+        self.words_a, self.feed = self.a.model.tokenize, self.a.token_to_id("Ċ")
+        self.splits = not any(re.search(f"[^▁]▁|\n|[{_LETTER}][{_MARK}]|[{_MARK}][{_LETTER}]", p) for p in plain)
         self.cache: dict[str, tuple | None] = {}
 
     def aligned(self, text: str, lead: str) -> tuple | None:
@@ -93,40 +100,58 @@ class Pair:
         ids_b = self.b.encode(text)
         return self._grouped(ids_a, ids_b, (lead + text).encode())
 
-    def unit(self, unit: str) -> tuple | None:
-        found = self.cache.get(unit, False)
-        if found is False:
-            if unit[0] == " ":
-                found = self.aligned(unit[1:], " ")
-            else:  # B puts a space before the line feed, as a token of its own
-                ids_b = self.b.encode(unit)
-                found = self._grouped(self.a.encode(unit, add_special_tokens=False).ids, ids_b[1:], unit.encode()) if self.bytes_b[ids_b[0]] == b" " else None
+    def learn(self, units: list[str]) -> dict[str, tuple | None]:
+        """What units give; the short ones are cached, with each of their pairs as often as it is linked."""
+        if len(self.cache) + len(units) > CACHE_ENTRIES:
+            self.cache.clear()
+        out = {}
+        # B puts a space first; before what has none, a line feed keeps it apart, and both go again.
+        for unit, ids_b in zip(units, self.b.encode([u[1:] if u[0] == " " else u if u[0] == "\n" else "\n" + u for u in units], num_threads=1), strict=True):
+            if unit[0] != " ":
+                ids_b = ids_b[1 if unit[0] == "\n" else 2 :]
+            out[unit] = found = self._grouped(self._ids_a(unit), ids_b, unit.encode())
             if len(unit) <= LONGEST:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
+                if found:
+                    out[unit] = found = (*found[:5], tuple([k for k, n in found[5].items() for _ in range(n)]))
                 self.cache[unit] = found
-        return found
+        return out
+
+    def _ids_a(self, unit: str) -> list[int]:
+        word = _WORD.fullmatch(unit)
+        if not word:
+            return self.a.encode(unit, add_special_tokens=False).ids
+        letters = word[1] if unit.isascii() else word[1].encode().decode("latin-1").translate(BYTE_LETTERS)
+        if unit[0] == "\n":
+            return [self.feed, *(t.id for t in self.words_a(letters))]
+        return [t.id for t in self.words_a("Ġ" + letters if unit[0] == " " else letters)]
 
     def _grouped(self, ids_a: list[int], ids_b: list[int], raw: bytes) -> tuple | None:
         of_a, of_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
+        if b"".join(of_b) != raw or b"".join(of_a) != raw:
             return None
-        ends_a, ends_b = np.cumsum([len(x) for x in of_a]).tolist(), np.cumsum([len(x) for x in of_b]).tolist()
+        if len(ids_a) == len(ids_b) == 1:
+            return 1, 1, 1, 1, f"{ids_a[0]}|{ids_b[0]}", {ids_a[0] << 16 | ids_b[0]: 1}
         i = j = links = 0
-        shown, pairs = [], Counter()
-        for x, y in merge(ends_a, ends_b):
-            some_a, some_b = ids_a[i:x], ids_b[j:y]
-            shown.append(f"{','.join(map(str, some_a))}|{','.join(map(str, some_b))}")
-            links += len(some_a) * len(some_b)
-            if len(some_a) == len(some_b) == 1:
-                pairs[some_a[0] << 16 | some_b[0]] += 1
+        shown: list[str] = []
+        pairs: dict[int, int] = {}
+        for x, y in merge([len(t) for t in of_a], [len(t) for t in of_b]):
+            if x == i + 1 and y == j + 1:
+                p, q = ids_a[i], ids_b[j]
+                shown.append(f"{p}|{q}")
+                key = p << 16 | q
+                pairs[key] = pairs.get(key, 0) + 1
+                links += 1
             else:
-                times_b = Counter(some_b)
-                for p, m in Counter(some_a).items():
-                    for q, n in times_b.items():
-                        pairs[p << 16 | q] += m * n
+                some_a, some_b = ids_a[i:x], ids_b[j:y]
+                shown.append(f"{','.join(map(str, some_a))}|{','.join(map(str, some_b))}")
+                links += len(some_a) * len(some_b)
+                few = links < 100  # then ids seldom repeat, and need not be counted first
+                times_b = [(q, 1) for q in some_b] if few else Counter(some_b).items()
+                for p, m in [(p, 1) for p in some_a] if few else Counter(some_a).items():
+                    for q, n in times_b:
+                        pairs[p << 16 | q] = pairs.get(p << 16 | q, 0) + m * n
             i, j = x, y
-        return len(ids_a), len(ids_b), len(shown), links, ";".join(shown), tuple(pairs.items())
+        return len(ids_a), len(ids_b), len(shown), links, ";".join(shown), pairs
 
     def document(self, text: str | None) -> tuple | None:
         """As `aligned`, of a space and the text; None without tokens."""
@@ -134,16 +159,26 @@ class Pair:
             return None
         if not self.splits:
             return self.aligned(text, " ")
-        units, get = _UNITS.findall(" " + text), self.cache.get
-        seen = {u: get(u) or self.unit(u) for u in set(units)}
+        units = _UNITS.findall(" " + text)
+        times = Counter(units)
+        cache = self.cache
+        seen = {u: cache[u] for u in times if u in cache}
+        if len(seen) < len(times):
+            seen |= self.learn([u for u in times if u not in seen])
         if None in seen.values():
             return self.aligned(text, " ")
         pairs: dict[int, int] = {}
-        for unit, times in Counter(units).items():
-            for pair, n in seen[unit][5]:
-                pairs[pair] = pairs.get(pair, 0) + n * times
+        get = pairs.get
+        for unit, k in times.items():
+            linked = seen[unit][5]
+            if type(linked) is tuple:
+                for pair in linked:
+                    pairs[pair] = get(pair, 0) + k
+            else:
+                for pair, n in linked.items():
+                    pairs[pair] = get(pair, 0) + n * k
         n_a, n_b, n_groups, n_links, shown, _ = zip(*map(seen.__getitem__, units), strict=True)
-        return sum(n_a), sum(n_b), sum(n_groups), sum(n_links), ";".join(shown), pairs.items()
+        return sum(n_a), sum(n_b), sum(n_groups), sum(n_links), ";".join(shown), pairs
 
 
 @lru_cache(maxsize=1)
@@ -186,8 +221,8 @@ def _rows(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str)
             for key, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = both.document(x.as_py())
                 sha = hashlib.sha256(found[4].encode()).hexdigest() if found else ""
-                linked = np.array(list(found[5]) if found else [], np.int64).reshape(-1, 2)
-                held.append((key, found[:4] if found else (0, 0, 0, 0), sha, (linked[:, 0], linked[:, 1])))
+                linked = [np.fromiter(x, np.int64) for x in ((found[5].keys(), found[5].values()) if found else ((), ()))]
+                held.append((key, found[:4] if found else (0, 0, 0, 0), sha, linked))
                 size += found[0] if found else 1
                 if size >= BLOCK:
                     yield out(type_of)
