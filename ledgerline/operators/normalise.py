@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import html
 from ledgerline.operators.metadata import member, text_of
+from ledgerline.operators.rows import web_url
 
 COLUMNS = ["source", "source_scope", "source_job_id", "company", "title", "description", "location", "job_url", "apply_url", "retrieved_at", "payload_json", "violations"]
 
@@ -34,10 +35,15 @@ def lever(rows: DataFrame) -> DataFrame:
     """From (source_scope, company, retrieved_at, payload_json). Sections of the description are parted by an empty line; the body stands in for none."""
     p = F.col("_p")
     named = rows.withColumn("_p", F.try_parse_json("payload_json"))
-    items = F.try_variant_get(p, "$.lists", "array<struct<text:string,content:string>>")
+    items = F.array_compact(F.try_variant_get(p, "$.lists", "array<struct<text:string,content:string>>"))
     parts = F.flatten(F.array(F.array(html.lines(_text(p, "$.descriptionPlain"))), F.coalesce(html.list_sections(items), F.array().cast("array<string>")), F.array(html.lines(_text(p, "$.additionalPlain")))))
     sections = F.array_join(F.filter(parts, lambda s: s.isNotNull() & (s != "")), "\n\n")
     body = F.coalesce(html.lines(_text(p, "$.descriptionBodyPlain")), html.lever_text(_text(p, "$.descriptionBody")), F.lit(""))
+    members = F.try_variant_get(p, "$.lists", "array<variant>")
+    kind_of = lambda m, path: F.coalesce(F.schema_of_variant(member(m, path)), F.lit("VOID"))
+    # Headings and contents are texts or null; a number is not read as its digits.
+    odd_list = F.exists(members, lambda m: ~F.coalesce(F.schema_of_variant(m).startswith("OBJECT"), F.lit(False)) | ~kind_of(m, "$.text").isin("STRING", "VOID") | ~kind_of(m, "$.content").isin("STRING", "VOID"))
+    odd_body = (sections == "") & (_kind(p, "$.descriptionBodyPlain", "STRING") | _text(p, "$.descriptionBodyPlain").isNull() & _kind(p, "$.descriptionBody", "STRING"))
     optional = {n: _kind(p, f"$.{path}", "STRING") for n, path in (("location", "categories.location"), ("apply_url", "applyUrl"), ("description", "descriptionPlain"), ("additional", "additionalPlain"))}
     out = named.withColumns(
         {
@@ -45,7 +51,7 @@ def lever(rows: DataFrame) -> DataFrame:
             "location": _text(p, "$.categories.location"), "description": F.when(sections != "", sections).otherwise(body),
         }
     )
-    wrong = _violations(payload=~F.coalesce(F.schema_of_variant(p).startswith("OBJECT"), F.lit(False)), id=F.col("source_job_id").isNull(), title=F.col("title").isNull(), job_url=F.col("job_url").isNull(), categories=_kind(p, "$.categories", "OBJECT"), lists=_kind(p, "$.lists", "ARRAY"), **optional)
+    wrong = _violations(payload=~F.coalesce(F.schema_of_variant(p).startswith("OBJECT"), F.lit(False)), id=F.col("source_job_id").isNull(), title=F.col("title").isNull(), job_url=~web_url(F.col("job_url")), bad_apply_url=F.col("apply_url").isNotNull() & ~web_url(F.col("apply_url")), categories=_kind(p, "$.categories", "OBJECT"), lists=_kind(p, "$.lists", "ARRAY"), list_member=odd_list, body=odd_body, **optional)
     return out.withColumn("violations", wrong).select(COLUMNS)
 
 
@@ -60,7 +66,7 @@ def greenhouse(rows: DataFrame) -> DataFrame:
             "apply_url": F.lit(None).cast("string"), "location": _text(p, "$.location.name"), "description": F.coalesce(html.greenhouse_text(text_of(member(p, "$.content"))), F.lit("")),
         }
     )
-    wrong = _violations(payload=~F.coalesce(F.schema_of_variant(p).startswith("OBJECT"), F.lit(False)), id=F.col("source_job_id").isNull(), title=F.col("title").isNull(), job_url=F.col("job_url").isNull(), location=_kind(p, "$.location", "OBJECT") | _kind(p, "$.location.name", "STRING"), content=_kind(p, "$.content", "STRING"))
+    wrong = _violations(payload=~F.coalesce(F.schema_of_variant(p).startswith("OBJECT"), F.lit(False)), id=F.col("source_job_id").isNull(), title=F.col("title").isNull(), job_url=~web_url(F.col("job_url")), location=_kind(p, "$.location", "OBJECT") | _kind(p, "$.location.name", "STRING"), content=_kind(p, "$.content", "STRING"))
     return out.withColumn("violations", wrong).select(COLUMNS)
 
 

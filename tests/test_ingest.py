@@ -29,7 +29,7 @@ def test_lever(spark):
     got = normalise.lever(rows_of(spark, base, bare, {"id": 3, "text": " ", "hostedUrl": "u", "categories": [], "lists": {}}, "[1]", "{")).collect()
     assert (got[0]["source_job_id"], got[0]["title"], got[0]["location"], got[0]["apply_url"], got[0]["violations"]) == ("1", "Engineer", "Berlin", None, [])
     assert got[0]["description"] == "a b\n\nc\n\nDo\n- x\n- y & z\n\nend" and (got[1]["description"], got[1]["location"]) == ("body", None)
-    assert got[2]["violations"] == ["id", "title", "categories", "lists"] and "payload" in got[3]["violations"] and "payload" in got[4]["violations"]
+    assert got[2]["violations"] == ["id", "title", "job_url", "categories", "lists"] and "payload" in got[3]["violations"] and "payload" in got[4]["violations"]
 
 
 def test_greenhouse_and_snapshots(spark):
