@@ -72,7 +72,7 @@ def write(docs: DataFrame, folder: str, vocab_path: str, *, id_col: str = "doc_i
 
     placed = rows.repartitionByRange(F.col(id_col).asc_nulls_first(), F.col("_hash")).sortWithinPartitions(F.col(id_col).asc_nulls_first(), "_hash").drop("_hash")
     encoded = placed.mapInArrow(batches, f"`{id_col}` {kind}, part int, local_start bigint, n_tokens bigint, ids array<int>")
-    options = {"orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": str(FALSE_SHARE), "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(STRIPE), "compression": "zstd"}
+    options = {"orc.bloom.filter.columns": id_col, "orc.bloom.filter.fpp": str(FALSE_SHARE), "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(STRIPE), "compression": "lz4"}
     encoded.write.options(**options).orc(f"{folder}/ids")
     spark = docs.sparkSession
     files = spark.read.schema(encoded.schema).orc(f"{folder}/ids").groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"))

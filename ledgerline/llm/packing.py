@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.vocab import Cache, vocabulary
+from ledgerline.llm.vocab import BYTE_LETTERS, Cache, vocabulary
 
 LENGTH = 4096
 #: Costs in tokens: of a sequence as such, of a cut behind a sentence, of a cut within one.
@@ -45,6 +45,8 @@ STEP = 64
 BLOCK = 400_000
 
 _CLOSING = b".,;:!?"
+#: Letters that are composed and have one lower-case form.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _END = re.compile(r"[.!?]")
 
 
@@ -102,8 +104,11 @@ def _library_ids(path: str) -> Cache:
     def made(chunk: bytes) -> bytes:
         if chunk.isalpha():  # ASCII letters alone are one word
             return array("I", [t.id for t in tokenize(chunk.lower().decode())]).tobytes()
-        if chunk[-1] in _CLOSING and chunk[:-1].isalpha():  # and a mark behind them is another
+        text = chunk.decode()
+        if chunk[-1] in _CLOSING and _LETTERS.fullmatch(text, 0, len(text) - 1):  # and a mark behind them is another
             return chunks[chunk[:-1]] + chunks[chunk[-1:]]
+        if _LETTERS.fullmatch(text):
+            return array("I", [t.id for t in tokenize(text.lower().encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
         return b"".join([one(w) for w in vocab.words(chunk)])
 
     chunks = Cache(made)
