@@ -26,7 +26,11 @@ SCHEMAS = {
     "lifecycle": f"{_KEY}, status string, first_seen_at timestamp, last_seen_at timestamp, inactive_at timestamp",
     "links": f"{_KEY}, logical_job_id string, linked_at timestamp",
     "scope_state": "source string, source_scope string, last_retrieved_at timestamp",
+    # Derived from the others: every linked posting with its decisions and hashes, and every entity.
+    "judged": f"{_KEY}, logical_job_id string, title string, company string, status string, first_seen_at timestamp, last_seen_at timestamp, posted_at timestamp, rejected boolean, outcome string, reasons array<string>, text_hash string, input_hash string, metadata_hash string",
+    "entities": "bucket int, id string, title string, company string, first_seen timestamp, last_seen timestamp, outcome string, posted_at timestamp",
 }
+PARTITIONS = dict.fromkeys(SCHEMAS, SCOPE) | {"entities": ["bucket"]}
 
 
 class StoreError(ValueError):
@@ -40,7 +44,7 @@ class Store:
     def create(self) -> Store:
         """Makes the tables that are not there; those that are stay as they are."""
         for name, schema in SCHEMAS.items():
-            self.spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*SCOPE).parquet(f"{self.root}/{name}")
+            self.spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*PARTITIONS[name]).parquet(f"{self.root}/{name}")
             system, path = self._path(f"{self.root}/{name}")
             system.mkdirs(path)
         return self
@@ -110,13 +114,7 @@ class Store:
         scopes = [tuple(r) for r in keys.select(*SCOPE).distinct().collect()]
         for name in ("links", "lifecycle", "normalized", "raw"):  # what refers to others goes first
             before = self.table(name, scopes)
-            left = before.join(keys.select(*KEYS), KEYS, "left_anti")
-            stay = {tuple(r) for r in left.select(*SCOPE).distinct().collect()}
-            gone = [tuple(r) for r in before.select(*SCOPE).distinct().collect() if tuple(r) not in stay]
-            self._overwrite(name, left.select(self.table(name).columns))
-            for scope in gone:  # a partition that loses all its rows is not overwritten
-                system, path = self._path(f"{self.root}/{name}/{self._partition(scope)}")
-                system.delete(path, True)
+            self.replace(name, before, before.join(keys.select(*KEYS), KEYS, "left_anti"))
 
     def _new(self, postings: DataFrame, headers: DataFrame, scopes: list[tuple[str, str]]) -> DataFrame:
         """The snapshots' postings with the tables' columns; times are the headers'."""
@@ -136,21 +134,32 @@ class Store:
             raise StoreError(f"posting {'/'.join(str(bad[k]) for k in KEYS)}: {', '.join(bad['wrong']) or 'is there twice'}")
         return sums["n"] or 0
 
-    def _rebalanced(self, df: DataFrame) -> DataFrame:
-        """Files by scope; a scope that is large is written by several tasks."""
-        return df.hint("rebalance", *(F.col(c) for c in SCOPE))
+    def _rebalanced(self, df: DataFrame, columns: list[str] = SCOPE) -> DataFrame:
+        """Files by partition; a partition that is large is written by several tasks."""
+        return df.hint("rebalance", *(F.col(c) for c in columns))
 
     def _overwrite(self, name: str, df: DataFrame) -> None:
-        self._rebalanced(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SCOPE).parquet(f"{self.root}/{name}")
+        columns = PARTITIONS[name]
+        self._rebalanced(df, columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(f"{self.root}/{name}")
+
+    def replace(self, name: str, before: DataFrame, after: DataFrame) -> None:
+        """Writes what is left of the partitions in `before`; those of which nothing is left go."""
+        columns = PARTITIONS[name]
+        stay = {tuple(r) for r in after.select(*columns).distinct().collect()}
+        gone = [tuple(r) for r in before.select(*columns).distinct().collect() if tuple(r) not in stay]
+        self._overwrite(name, after.select(self.table(name).columns))
+        for values in gone:  # a partition that loses all its rows is not overwritten
+            system, path = self._path(f"{self.root}/{name}/{self._partition(columns, values)}")
+            system.delete(path, True)
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _partition(self, scope: tuple[str, str]) -> str:
+    def _partition(self, columns: list[str], values: tuple) -> str:
         """The name of a partition's folder, as Spark's writer escapes it."""
         named = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
-        return "/".join(named(c, v) for c, v in zip(SCOPE, scope, strict=True))
+        return "/".join(named(c, str(v)) for c, v in zip(columns, values, strict=True))
 
 
 def _among(scopes: list[tuple[str, str]]) -> Column:
