@@ -29,7 +29,6 @@ import hashlib
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -45,6 +44,8 @@ from ledgerline.llm.vocab import BYTE_LETTERS
 
 #: Tokens of A in a block, units in a worker's cache, and the longest unit that is cached.
 BLOCK, CACHE_ENTRIES, LONGEST = 2_000_000, 300_000, 64
+#: Characters of texts that are split together.
+TOGETHER = 200_000
 
 #: Letters whose neighbours are looked at, and marks that no token has together with one; an apostrophe may be.
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -56,20 +57,6 @@ _UNITS = re.compile(rf"\A\s{{2,}}\S*{_ON}|[ \n]?[{_LETTER}]+(?:(?=[{_MARK}])|{_O
 _WORD = re.compile(rf"[ \n]?([{_LETTER}]+)")
 
 
-def merge(lengths_a: list[int], lengths_b: list[int]) -> Iterator[tuple[int, int]]:
-    """Where groups close: how many tokens of A and of B end at or before each place at which both end. The sums are equal."""
-    i = j = end_a = end_b = 0
-    n = len(lengths_a)
-    while i < n:
-        end_a, end_b, i, j = end_a + lengths_a[i], end_b + lengths_b[j], i + 1, j + 1
-        while end_a != end_b:
-            if end_a < end_b:
-                end_a, i = end_a + lengths_a[i], i + 1
-            else:
-                end_b, j = end_b + lengths_b[j], j + 1
-        yield i, j
-
-
 class Pair:
     """Two tokenizers, and what they make of a text."""
 
@@ -84,10 +71,11 @@ class Pair:
         letters = {chr(c): b for b, c in BYTE_LETTERS.items()}
         raw_of = lambda t: bytes(letters.get(c, ord(c) & 0xFF) for c in t)
         known = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_a = {i: raw_of(t) for t, i in known.items()}
+        by_id = {i: raw_of(t) for t, i in known.items()}
+        self.bytes_a = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        if max(self.bytes_a) >= 1 << 16 or len(pieces) > 1 << 16:
+        if len(self.bytes_a) > 1 << 16 or len(pieces) > 1 << 16:
             raise ValueError("ids over 65,535 do not fit the packed pairs")
         plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         self.words_a, self.feed = self.a.model.tokenize, self.a.token_to_id("Ċ")
@@ -126,40 +114,57 @@ class Pair:
         return [t.id for t in self.words_a("Ġ" + letters if unit[0] == " " else letters)]
 
     def _grouped(self, ids_a: list[int], ids_b: list[int], raw: bytes) -> tuple | None:
-        of_a, of_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(of_b) != raw or b"".join(of_a) != raw:
+        """The two-pointer merge. Tokens of A always stand for the bytes they were made of, so that their length tells whether any is lost."""
+        of_a, of_b = self.bytes_a, self.bytes_b
+        n = len(ids_a)
+        if b"".join([of_b[q] for q in ids_b]) != raw or sum([len(of_a[p]) for p in ids_a]) != len(raw):
             return None
-        if len(ids_a) == len(ids_b) == 1:
+        if n == 1 == len(ids_b):
             return 1, 1, 1, 1, f"{ids_a[0]}|{ids_b[0]}", {ids_a[0] << 16 | ids_b[0]: 1}
-        i = j = links = 0
+        i = j = links = end_a = end_b = 0
         shown: list[str] = []
         pairs: dict[int, int] = {}
-        for x, y in merge([len(t) for t in of_a], [len(t) for t in of_b]):
-            if x == i + 1 and y == j + 1:
-                p, q = ids_a[i], ids_b[j]
+        while i < n:
+            x, y, p, q = i, j, ids_a[i], ids_b[j]
+            end_a, end_b, i, j = end_a + len(of_a[p]), end_b + len(of_b[q]), i + 1, j + 1
+            if end_a == end_b:  # one token on either side
                 shown.append(f"{p}|{q}")
                 key = p << 16 | q
                 pairs[key] = pairs.get(key, 0) + 1
                 links += 1
-            else:
-                some_a, some_b = ids_a[i:x], ids_b[j:y]
-                shown.append(f"{','.join(map(str, some_a))}|{','.join(map(str, some_b))}")
-                links += len(some_a) * len(some_b)
-                few = links < 100  # then ids seldom repeat, and need not be counted first
-                times_b = [(q, 1) for q in some_b] if few else Counter(some_b).items()
-                for p, m in [(p, 1) for p in some_a] if few else Counter(some_a).items():
-                    for q, n in times_b:
-                        pairs[p << 16 | q] = pairs.get(p << 16 | q, 0) + m * n
-            i, j = x, y
-        return len(ids_a), len(ids_b), len(shown), links, ";".join(shown), pairs
-
-    def document(self, text: str | None) -> tuple | None:
-        """As `aligned`, of a space and the text; None without tokens."""
+                continue
+            while end_a != end_b:
+                if end_a < end_b:
+                    end_a, i = end_a + len(of_a[ids_a[i]]), i + 1
+                else:
+                    end_b, j = end_b + len(of_b[ids_b[j]]), j + 1
+            some_a, some_b = ids_a[x:i], ids_b[y:j]
+            shown.append(f"{','.join(map(str, some_a))}|{','.join(map(str, some_b))}")
+            links += len(some_a) * len(some_b)
+            few = links < 100  # then ids seldom repeat, and need not be counted first
+            times_b = [(q, 1) for q in some_b] if few else Counter(some_b).items()
+            for p, m in [(p, 1) for p in some_a] if few else Counter(some_a).items():
+                for q, times in times_b:
+                    pairs[p << 16 | q] = pairs.get(p << 16 | q, 0) + m * times
+        return n, len(ids_b), len(shown), links, ";".join(shown), pairs
+
+    def units(self, texts: list[str | None]) -> list[list[str] | None]:
+        """The units of each text; those that are new are learnt at once."""
+        if not self.splits:
+            return [None] * len(texts)
+        found = [_UNITS.findall(" " + t) if t else [] for t in texts]
+        new = {u for units in found for u in units if u not in self.cache and len(u) <= LONGEST}
+        if new:
+            self.learn(list(new))
+        return found
+
+    def document(self, text: str | None, units: list[str] | None = None) -> tuple | None:
+        """As `aligned`, of a space and the text, whose units may be given; None without tokens."""
         if not text:
             return None
         if not self.splits:
             return self.aligned(text, " ")
-        units = _UNITS.findall(" " + text)
+        units = units or _UNITS.findall(" " + text)
         times = Counter(units)
         cache = self.cache
         seen = {u: cache[u] for u in times if u in cache}
@@ -215,11 +220,21 @@ def _rows(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str)
             columns = [pa.array([key for key, _, _, _ in held] + [None], type_of), pa.array([task | block] * (n + 1), pa.int64()), *sums, shas, lists(places, np.int32), lists(links, np.int64), whole(pairs, np.int64), whole(times, np.int32)]
             return pa.RecordBatch.from_arrays(columns, names=[id_col, *(x.split()[0] for x in ROWS.split(", "))])
 
+        def with_units(batch, both):
+            """Rows of a batch, of which some short texts or one long one are split at a time."""
+            keys, some, size = batch.column(0).to_pylist(), [], 0
+            for k, x in enumerate(batch.column(1)):
+                some.append(x.as_py())
+                size += len(some[-1] or "")
+                if size >= TOGETHER or k + 1 == len(keys):
+                    yield from zip(keys[k + 1 - len(some) : k + 1], some, both.units(some), strict=True)
+                    some, size = [], 0
+
         type_of = None
         for batch in it:
             type_of = batch.column(0).type
-            for key, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = both.document(x.as_py())
+            for key, text, units in with_units(batch, both):
+                found = both.document(text, units)
                 sha = hashlib.sha256(found[4].encode()).hexdigest() if found else ""
                 linked = [np.fromiter(x, np.int64) for x in ((found[5].keys(), found[5].values()) if found else ((), ()))]
                 held.append((key, found[:4] if found else (0, 0, 0, 0), sha, linked))
