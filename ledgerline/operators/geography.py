@@ -12,7 +12,7 @@ text is searched once whatever is filtered on the result.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
@@ -219,13 +219,9 @@ def _proof(field: str, value: Column) -> Column:
     return F.struct(F.lit(field).alias("field"), value.alias("value"))
 
 
-def assess(rows: DataFrame, *, name: str = "geography") -> DataFrame:
-    """The rows (source, title, location, description, payload_json) with a struct `name`.
-
-    It has outcome, reason, confidence, evidence, us_exceptions, conflicts, countries, regions, work_mode,
-    foreign_restrictions and uncertainty_details. Null texts and payloads are as empty ones; country, workplace
-    and further locations are read from the payloads of one source alone.
-    """
+@lru_cache(maxsize=2)
+def _assessment(application: str) -> Column:
+    """The expression, which is built once for an application: it is large, and every part of it is a call to the JVM."""
     payload = F.when(F.col("source") == "lever", F.try_parse_json("payload_json"))
     iso = F.upper(text_of(member(payload, "$.country")))
     workplace = text_of(member(payload, "$.workplaceType"))
@@ -248,7 +244,17 @@ def assess(rows: DataFrame, *, name: str = "geography") -> DataFrame:
         return let(F.transform(legal, lambda c: clause_signals(c, f["mode"] == "remote")), lambda signals: _decision(f, signals))
 
     located = let(F.array_distinct(F.array_compact(listed)), fields)
-    return rows.withColumn(name, let(located, with_clauses))
+    return let(located, with_clauses)
+
+
+def assess(rows: DataFrame, *, name: str = "geography") -> DataFrame:
+    """The rows (source, title, location, description, payload_json) with a struct `name`.
+
+    It has outcome, reason, confidence, evidence, us_exceptions, conflicts, countries, regions, work_mode,
+    foreign_restrictions and uncertainty_details. Null texts and payloads are as empty ones; country, workplace
+    and further locations are read from the payloads of one source alone.
+    """
+    return rows.withColumn(name, _assessment(rows.sparkSession.sparkContext.applicationId))
 
 
 def _decision(f: Column, signals: Column) -> Column:
