@@ -41,6 +41,29 @@ def replay(log: DataFrame) -> DataFrame:
     return out.select("scope", "id", F.when(F.col("next_at").isNull(), "active").otherwise("inactive").alias("status"), "first_seen", "last_seen", F.col("next_at").alias("inactive_at"))
 
 
+def advance(state: DataFrame, log: DataFrame) -> DataFrame:
+    """The state (scope, id, status, first_seen, last_seen, inactive_at) after all snapshots of a log (scope, id, at).
+
+    The log is newer than the state; a row with a null id is the header of a snapshot without postings. As if the
+    snapshots were reconciled one by one: an id is inactive from the scope's first snapshot behind the last that has it.
+    """
+    times = log.select("scope", "at").distinct().withColumn("next_at", F.lead("at").over(Window.partitionBy("scope").orderBy("at")))
+    first = times.groupBy("scope").agg(F.min("at").alias("began"))
+    seen = log.filter("id is not null").groupBy("scope", "id").agg(F.min("at").alias("new_first"), F.max("at").alias("new_last"))
+    seen = seen.join(times.withColumnRenamed("at", "new_last"), ["scope", "new_last"])
+    joined = state.join(seen, ["scope", "id"], "full_outer").join(first, "scope", "left")
+    here = F.col("new_last").isNotNull()
+    gone = ~here & F.col("began").isNotNull() & (F.col("status") == "active")
+    return joined.select(
+        "scope",
+        "id",
+        F.when(here, F.when(F.col("next_at").isNull(), "active").otherwise("inactive")).when(gone, "inactive").otherwise(F.col("status")).alias("status"),
+        F.coalesce("first_seen", "new_first").alias("first_seen"),
+        F.coalesce("new_last", "last_seen").alias("last_seen"),
+        F.when(here, F.col("next_at")).when(gone, F.col("began")).otherwise(F.col("inactive_at")).alias("inactive_at"),
+    )
+
+
 def stale(log: DataFrame, order: str, *, ranges: int = 1024) -> DataFrame:
     """Entries of a log (scope, at, order) that are not newer than all before them in their scope.
 
