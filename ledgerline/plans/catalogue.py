@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import html
 from ledgerline.functions.text import ascii_fold, canonical_url, contains_term
-from ledgerline.operators import catalog, geography, judging, lifecycle, metadata, occupation, outcomes, policy, report, screening, search, sync
+from ledgerline.operators import catalog, geography, identity, judging, lifecycle, metadata, occupation, outcomes, policy, report, screening, search, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -179,6 +179,18 @@ def policy_decisions(spark, d):
     return _decided(spark, d).select("doc_id", "rejected", F.size("reasons").cast("long").alias("n_reasons"))
 
 
+#: Hundreds of literal terms, by a rule.
+TERMS = tuple(a + b + c for a in ("th", "an", "er", "in", "re", "ti", "qu", "zy") for b in ("ou", "ea", "io", "ng", "nd", "st") for c in ("able", "ation", "edly", "ing", "ster", "wh"))
+
+
+@query(f"SELECT doc_id, list_filter({list(TERMS)}, lambda t: contains(n, t)) AS l, len(l) > 0 AS rejected, len(l)::BIGINT AS n_reasons, coalesce(array_to_string(l, ','), '') AS terms FROM (SELECT doc_id, {NORMAL} AS n FROM documents)".replace("SELECT doc_id, list_filter", "SELECT doc_id, rejected, n_reasons, terms FROM (SELECT doc_id, list_filter", 1) + ")")
+def policy_many_terms(spark, d):
+    """Hundreds of excluded terms in one pass over each text."""
+    rules = policy.Policy(description_exclude=TERMS)
+    decided = policy.decide(table(spark, d, "documents").select("doc_id", "source", "text"), rules, title="source", company=None, description="text")
+    return decided.select("doc_id", "rejected", F.size("reasons").cast("long").alias("n_reasons"), F.array_join(F.transform("reasons", lambda r: r["term"]), ",").alias("terms"))
+
+
 @query(REASONS + "SELECT field, kind, term, count(*) AS n FROM r GROUP BY ALL")
 def policy_reason_counts(spark, d):
     return report.reason_counts(_decided(spark, d))
@@ -390,3 +402,29 @@ def metadata_map(spark, d):
 @query(None)
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", html.greenhouse_text(F.col("html")).alias("text"))
+
+
+OWN = "(length({s})::VARCHAR || ':' || {s} || '3:all' || {i})"
+
+
+@query(f"""WITH c AS (SELECT c_mktsegment AS s, c_nationkey AS n, lpad(c_custkey::VARCHAR, 9, '0') AS i FROM customer), f AS (SELECT s, n, min(i) AS first FROM c GROUP BY ALL)
+SELECT i AS id, regexp_replace(substr(sha256({OWN.format(s="s", i="first")}), 1, 32), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\\1-\\2-\\3-\\4-\\5') AS logical_id, i <> first AS matched FROM c JOIN f USING (s, n)""")
+def identity_links(spark, d):
+    """Customers as postings of their segment, whose job URL is their nation's: all of a nation are one entity, the first makes its id."""
+    key = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("source"), F.lit("all").alias("scope"), key.alias("id"), F.col("c_mktsegment").alias("company"), F.concat(F.lit("https://H:443/"), F.col("c_nationkey").cast("string")).alias("job_url"), F.lit(None).cast("string").alias("apply_url"), F.lit(None).cast("string").alias("logical_id"))
+    return identity.resolve(rows).select("id", "logical_id", "matched")
+
+
+@query("""WITH r AS (SELECT CASE WHEN c_acctbal < 0 THEN 'greenhouse' ELSE 'lever' END AS source, CASE WHEN c_mktsegment = 'BUILDING' THEN 'full_time' END AS old, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'contract' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'temporary' END AS found, c_acctbal > 9500 AS odd FROM customer)
+SELECT source, count(*) AS total, count(*) FILTER (WHERE odd) AS invalid_payload, count(*) FILTER (WHERE NOT odd AND old IS NULL AND found IS NOT NULL) AS employment_type_enriched,
+count(*) FILTER (WHERE NOT odd AND (old IS NOT NULL OR found IS NOT NULL)) AS employment_type_populated, count(*) FILTER (WHERE NOT odd AND old IS NULL AND found IS NULL) AS employment_type_missing FROM r GROUP BY source""")
+def backfill_counts(spark, d):
+    """Customers as postings of two providers, with payloads from their segment and balance."""
+    m, balance = F.col("c_mktsegment"), F.col("c_acctbal")
+    word = F.when(m == "BUILDING", "Contract").when(m == "MACHINERY", " fixed-term_CONTRACT").when(m == "HOUSEHOLD", "Seasonal").otherwise("a fine job")
+    lever = F.concat(F.lit('{"categories": {"commitment": "'), word, F.lit('"}}'))
+    board = F.concat(F.lit('{"metadata": [{"name": "Employment  Type", "value": "'), word, F.lit('"}, {"name": "other", "value": "Seasonal"}]}'))
+    payload = F.when(balance > 9500, "[1]").when(balance < 0, board).otherwise(lever)
+    rows = table(spark, d, "customer").select(F.when(balance < 0, "greenhouse").otherwise("lever").alias("source"), payload.alias("payload_json"), F.expr("TIMESTAMP '2024-01-01 00:00:00Z'").alias("retrieved_at"), F.when(m == "BUILDING", "full_time").alias("employment_type"))
+    return metadata.backfill_counters(metadata.extract(rows), ("employment_type",))

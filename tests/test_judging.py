@@ -64,3 +64,14 @@ def test_search_keeps_what_is_judged_to_be_kept(whole):
     assert search(keywords="director", outcome="all", fields="title") == {"A": "keep"}
     page = catalog.search_catalog(whole, judging.judge(whole, RULES), catalog.CatalogCriteria(keywords="boston", fields="all", outcome="all")).page.collect()
     assert [(r["id"], len(r["representations"])) for r in page] == [("A", 2)]
+
+
+def test_many_terms_are_few_terms(spark, monkeypatch):
+    """One pass for all terms gives the reasons that one search for each gives, nulls and terms with one key included."""
+    terms = tuple(f"{a}{b}" for a in ("ab", "Straße", "x  y", "AB", "bc", "c") for b in ("", "c", " d", "ß", "E"))
+    rules = policy.Policy(title_exclude=("dispatcher", *terms), title_include=("it", "ab"), company_exclude=("acme",), description_exclude=terms, description_include=terms[3:20])
+    texts = ["", None, "abcd", "STRASSE  ss", "x\ty e", "IT dispatcher", "it  Dispatcher ", "nothing", "abc" * 5000, "bce c d"]
+    rows = spark.createDataFrame([(k, a, "Acme" if k % 3 else None, b) for k, (a, b) in enumerate((a, b) for a in texts for b in texts)], "k int, title string, company string, description string").withColumn("reasons", F.lit("clash"))
+    fast = {r["k"]: (r["reasons"], r["rejected"]) for r in policy.decide(rows, rules).collect()}
+    monkeypatch.setattr(policy, "MANY", 10_000)
+    assert {r["k"]: (r["reasons"], r["rejected"]) for r in policy.decide(rows, rules).collect()} == fast
