@@ -63,7 +63,3 @@ def canonical_url(c: Column) -> Column:
 def safe_url(c: Column) -> Column:
     """The URL if it is http(s) with a host and has no user part, white space or control character."""
     return F.when(c.rlike(r"^(?i:https?)://[^/?#@\s\x00-\x1f\x7f]+([/?#][^\s\x00-\x1f\x7f]*)?$"), c)
-
-
-def preview(c: Column, chars: int = 320) -> Column:
-    return F.substring(collapse(c), 1, chars)

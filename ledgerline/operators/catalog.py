@@ -167,7 +167,8 @@ def search_catalog(catalog: Catalog, judge: Callable[[DataFrame], DataFrame], cr
     names = ["title", "company", "location", "job_url", "apply_url", "description", "employment_type", "workplace_type", "status", "outcome", "reasons"]
     detail = F.struct(*KEYS, *names)
     ids = shown.select(F.col("id").alias("logical_job_id"))
-    details = judged.join(F.broadcast(ids), "logical_job_id", "left_semi").groupBy(F.col("logical_job_id").alias("id")).agg(F.array_sort(F.collect_list(detail)).alias("representations"))
+    of_page = judge(postings.join(F.broadcast(ids), "logical_job_id", "left_semi"))  # not all candidates a second time
+    details = of_page.groupBy(F.col("logical_job_id").alias("id")).agg(F.array_sort(F.collect_list(detail)).alias("representations"))
     return Results(matched, matched.agg(F.count(F.lit(1)).alias("total")), shown.join(details, "id").orderBy(*order))
 
 

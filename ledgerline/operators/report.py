@@ -116,3 +116,26 @@ def shown(c: Column, chars: int = 320) -> Column:
 def shown_time(ts: Column, hours: int = -8) -> Column:
     """A UTC time at a fixed offset on a 12-hour clock; nulls are Unknown."""
     return F.coalesce(F.date_format(ts + F.make_interval(hours=F.lit(hours)), "yyyy-MM-dd hh:mm a"), F.lit("Unknown"))
+
+
+def shown_date(ts: Column) -> Column:
+    """The day of a UTC time; nulls are Unknown."""
+    return F.coalesce(F.date_format(ts, "yyyy-MM-dd"), F.lit("Unknown"))
+
+
+def first_of(companies: DataFrame, n: int) -> DataFrame:
+    """The first n entries of a registry, by position."""
+    if n < 0:
+        raise ValueError("n must not be negative")
+    return companies.orderBy("position").limit(n)
+
+
+def write_report(parts: Mapping[str, DataFrame], folder: str, *, samples: Mapping[str, DataFrame] | None = None, size: int = 10, seed: int = 0, key: str = "logical_job_id") -> None:
+    """Each part as JSON lines in a folder of its own, and for each of `samples` `size` rows without replacement.
+
+    Parts are counters and funnels, a row or a few; samples are taken by a top-k over hashed keys.
+    """
+    for name, part in parts.items():
+        part.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}")
+    for name, rows in (samples or {}).items():
+        sample(rows, size, seed, key).coalesce(1).write.mode("overwrite").json(f"{folder}/sample_{name}")

@@ -54,6 +54,18 @@ def test_report(spark):
     assert rows.limit(1).select(report.percent(F.lit(1), F.lit(0)), report.reason_label(F.lit("title"), F.lit("k"), F.lit("x")), report.shown_time(F.lit(None).cast("timestamp"))).first()[:] == (0.0, "title/k ('x')", "Unknown")
 
 
+def test_report_files(spark, tmp_path):
+    rows = spark.createDataFrame([(f"L{k}", k) for k in range(50)], "logical_job_id string, n int")
+    report.write_report({"total": rows.agg(F.count("n").alias("n"))}, f"file://{tmp_path}/r", samples={"kept": rows}, size=3)
+    assert spark.read.json(f"{tmp_path}/r/total").first()["n"] == 50 and spark.read.json(f"{tmp_path}/r/sample_kept").count() == 3
+    dates = spark.sql("SELECT TIMESTAMP '2024-01-02 23:59:59Z' AS t UNION ALL SELECT NULL").select(report.shown_date(F.col("t")).alias("d")).collect()
+    assert sorted(r["d"] for r in dates) == ["2024-01-02", "Unknown"]
+    entries = rows.withColumnRenamed("n", "position")
+    assert [r["position"] for r in report.first_of(entries, 2).collect()] == [0, 1] and report.first_of(entries, 0).count() == 0
+    with pytest.raises(ValueError):
+        report.first_of(entries, -1)
+
+
 class Board(BaseHTTPRequestHandler):
     failures: dict = {}
 
