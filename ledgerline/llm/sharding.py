@@ -32,21 +32,29 @@ def unit(key: Column, salt: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16**DIGITS)
 
 
+def _free(name: str, taken: set[str]) -> str:
+    """The name, with as many underscores before it as it takes to be new."""
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shard(rows: DataFrame, weights: Sequence[float], *, key_col: str = "doc_id", grown: float | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The rows with shard and slot, and with grown_shard if a further shard of that weight is named."""
-    key = F.col(key_col)
-    scored = rows.withColumn("_scores", F.array(*[-F.lit(float(w)) / F.log(unit(key, str(i))) for i, w in enumerate([*weights, *([grown] if grown else [])])]))
-    first = F.slice("_scores", 1, len(weights))
+    key = F.col(f"`{key_col}`")
+    taken = {c.lower() for c in rows.columns}
+    scores, bucket, count, start, rank = (_free(n, taken) for n in ("_scores", "_bucket", "_n", "_start", "_rank"))
+    scored = rows.withColumn(scores, F.array(*[-F.lit(float(w)) / F.log(unit(key, str(i))) for i, w in enumerate([*weights, *([grown] if grown else [])])]))
+    first = F.slice(scores, 1, len(weights))
     found = {"shard": (F.array_position(first, F.array_max(first)) - 1).cast("int")}
     if grown:
-        found["grown_shard"] = (F.array_position("_scores", F.array_max("_scores")) - 1).cast("int")
-    bucket = F.floor(unit(key, "bucket") * buckets).cast("int")
-    placed = scored.withColumns(found | {"_bucket": bucket}).drop("_scores")
-    sizes = placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(key)))
-    return ranked.join(F.broadcast(starts), ["shard", "_bucket"]).withColumn("slot", (F.col("_start") + F.col("_rank") - 1).cast("long")).drop("_bucket", "_rank", "_start")
+        found["grown_shard"] = (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    placed = scored.withColumns(found | {bucket: F.floor(unit(key, "bucket") * buckets).cast("int")}).drop(scores)
+    sizes = placed.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(count))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", bucket, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(start))
+    ranked = placed.withColumn(rank, F.row_number().over(Window.partitionBy("shard", bucket).orderBy(key)))
+    return ranked.join(F.broadcast(starts), ["shard", bucket]).withColumn("slot", (F.col(start) + F.col(rank) - 1).cast("long")).drop(bucket, rank, start)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -249,6 +249,15 @@ def test_warc_through_spark(spark, tmp_path):
     assert warc.read(empty).count() == 0
 
 
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["_scores", "_bucket", "_n", "_start", "_Rank", "__scores"]
+    rows = spark.range(200).withColumnRenamed("id", "doc_id")
+    plain = rows_of(sharding.shard(rows, [1.0, 2.0], grown=1.0), "doc_id", "shard", "slot", "grown_shard")
+    clashing = sharding.shard(rows.withColumns({n: F.lit(n) for n in names} | {"shard": F.lit(9), "slot": F.lit(9)}), [1.0, 2.0], grown=1.0)
+    assert rows_of(clashing, "doc_id", "shard", "slot", "grown_shard") == plain
+    assert set(names) <= set(clashing.columns) and rows_of(clashing.select(*names).distinct(), *names) == [tuple(names)]
+
+
 class Counted(io.BytesIO):
     taken = 0
 
