@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,22 +50,27 @@ def writing(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def _plain(columns: Sequence[str]) -> dict[str, str]:
+    return {f"parquet.enable.dictionary#{c}": "false" for c in columns}
+
+
 class Scratch:
     """A folder of tables. A written table has no lineage, so lost executors cost no more than its readers."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.tables = spark, new_folder(spark, name), {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, plain: Sequence[str] = ()) -> DataFrame:
+        """plain: columns of hashes, for which a dictionary would be built in vain."""
         with writing(self.spark):
-            df.write.parquet(f"{self.path}/{name}")
+            df.write.options(**_plain(plain)).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
-    def keep_sorted(self, df: DataFrame, name: str, key: str) -> DataFrame:
+    def keep_sorted(self, df: DataFrame, name: str, key: str, plain: Sequence[str] = ()) -> DataFrame:
         """In one bucket for each shuffle partition by `key`, sorted; joins of such tables on it are merges without an exchange."""
         self.tables[name] = f"scratch_{uuid.uuid4().hex}"
         with writing(self.spark):
-            df.write.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", f"{self.path}/{name}").saveAsTable(self.tables[name])
+            df.write.options(**_plain(plain)).bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", f"{self.path}/{name}").saveAsTable(self.tables[name])
         return self.spark.table(self.tables[name])
 
     def drop(self, *names: str) -> None:

@@ -51,21 +51,20 @@ from ledgerline.llm.scratch import Scratch
 WINDOW, GRAM = 13, 5
 #: Batches that a whole table is taken in; from the third on, the index compacts.
 BATCHES = 3
+#: Marks of a window: in the batch, or of documents opened for it; in an earlier run.
+OWN, KNOWN = 1, 2
 
 
-class Block:
+class Block(W.Spaced):
     """The words of several texts in a row, and which 13-word windows lie in one text."""
 
     def __init__(self, texts: list[bytes | None]):
-        words = [W.split(x) for x in texts]
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        self.words = [w for own in words for w in own]
-        h = W.hashes(self.words)
+        super().__init__(texts)
+        h = W.hashes_at(self.bytes, self.starts)
         n = max(len(h) - WINDOW + 1, 0)
-        ends = np.repeat(self.first + self.sizes, self.sizes)[:n]
+        last = np.repeat(self.first + self.sizes, self.sizes)[:n]
         #: Places of windows, and the text that each is in.
-        self.at = np.flatnonzero(np.arange(n) + WINDOW <= ends)
+        self.at = np.flatnonzero(np.arange(n) + WINDOW <= last)
         self.owner = np.repeat(np.arange(len(texts)), self.sizes)[self.at]
         self.grams = W.runs(h, GRAM)
 
@@ -78,14 +77,21 @@ class Block:
 
     def digests(self, chosen: np.ndarray) -> np.ndarray:
         """128 bits of the text of each chosen window, as two columns of longs."""
-        words, join = self.words, b" ".join
-        raw = b"".join([xxhash.xxh3_128_digest(join(words[a : a + WINDOW])) for a in self.at[chosen].tolist()])
+        text, at = self.bytes.tobytes(), self.at[chosen]
+        digest = xxhash.xxh3_128_digest
+        raw = b"".join(map(digest, map(text.__getitem__, map(slice, self.starts[at].tolist(), self.ends[at + WINDOW - 1].tolist()))))
         return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
-def _blocks(batch: pa.RecordBatch, rows: int = 256):
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def _blocks(batch: pa.RecordBatch, rows: int = 256, size: int = 1 << 20):
+    """Slices of so many rows, or of about so many bytes of text (the second column) if that is less."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        end = min(max(end, at + 1), at + rows)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
@@ -96,6 +102,11 @@ def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _heads(fp: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which windows begin a stretch with one fingerprint in one text; there is a window at least."""
+    return np.concatenate([[True], (fp[1:] != fp[:-1]) | (owner[1:] != owner[:-1])])
+
+
 def _fingerprint_rows(docs: DataFrame) -> DataFrame:
     """(fp, doc_id), once for each stretch of windows with one fingerprint."""
 
@@ -105,7 +116,7 @@ def _fingerprint_rows(docs: DataFrame) -> DataFrame:
                 block = Block(part.column(1).to_pylist())
                 fp = block.fingerprints()
                 if len(fp):
-                    new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (block.owner[1:] != block.owner[:-1])])
+                    new = _heads(fp, block.owner)
                     yield pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), part.column(0).take(pa.array(block.owner[new]))], names=["fp", "doc_id"])
 
     return docs.filter("doc_id is not null").mapInArrow(batches, "fp bigint, doc_id bigint")
@@ -123,9 +134,16 @@ def _window_rows(docs: DataFrame) -> DataFrame:
                 block = Block(part.column(1).to_pylist())
                 shared = part.column(2)
                 owners = np.repeat(np.arange(part.num_rows), pc.list_value_length(shared).to_numpy(zero_copy_only=False))
+                fp = block.fingerprints()
+                if not len(fp) or not len(owners):
+                    continue
+                # Neighbouring windows mostly share a fingerprint, which is looked up once.
+                heads = np.flatnonzero(_heads(fp, block.owner))
                 salt = np.uint64(0x9E3779B97F4A7C15)
-                wanted = W.mix(shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + owners.astype(np.uint64) * salt)
-                hit = np.flatnonzero(np.isin(W.mix(block.fingerprints() + block.owner.astype(np.uint64) * salt), wanted))
+                wanted = np.sort(W.mix(shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + owners.astype(np.uint64) * salt))
+                asked = W.mix(fp[heads] + block.owner[heads].astype(np.uint64) * salt)
+                met = wanted[np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)] == asked
+                hit = np.flatnonzero(np.repeat(met, np.diff(np.append(heads, len(fp)))))
                 if len(hit):
                     digests, owner = block.digests(hit), pa.array(block.owner[hit])
                     at = (block.at[hit] - block.first[block.owner[hit]]).astype(np.int32)
@@ -144,6 +162,24 @@ def without(raw: bytes, cut: list[bool]) -> bytes:
     return raw[: starts[0]] + b"".join([raw[a:b] for a, b, c in zip(starts, ends, cut, strict=True) if not c]) if starts else raw
 
 
+def _kept_words(texts: list[bytes | None], starts: list[np.ndarray | None]):
+    """(numbers of words, numbers of words removed, the kept words joined by a space) of texts with the starts of their removed windows."""
+    block = W.Spaced(texts)
+    keep = np.ones(len(block.starts), bool)
+    for first, n, own in zip(block.first.tolist(), block.sizes.tolist(), starts, strict=True):
+        if own is not None and n:
+            keep[first : first + n] = ~covered(n, own)
+    edges = np.concatenate([[0], np.cumsum(keep)])
+    kept = edges[block.first + block.sizes] - edges[block.first]
+    widths = block.ends - block.starts + 1
+    rest = np.repeat(keep, widths)
+    last = np.flatnonzero(keep)[edges[block.first + block.sizes][kept > 0] - 1]
+    rest[block.ends[last]] = False  # no space behind a text's last word
+    bounds = np.concatenate([[0], np.cumsum(rest)])[np.append(block.starts, len(rest))][np.append(block.first, len(keep))]
+    text = pa.StringArray.from_buffers(len(texts), pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(block.bytes[rest].tobytes()))
+    return pa.array(block.sizes), pa.array(block.sizes - kept), text
+
+
 def _cut_rows(docs: DataFrame, carry: list[str], layout: bool) -> DataFrame:
     """doc_id, the carried columns, n_words, n_removed and kept_text: the kept words joined by a space, or, with layout, as they stand in the text.
 
@@ -152,8 +188,11 @@ def _cut_rows(docs: DataFrame, carry: list[str], layout: bool) -> DataFrame:
 
     def batches(it):
         for batch in it:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in _blocks(batch):
+                if not layout:
+                    places = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid else None for x in part.column(2)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[3:], *_kept_words(part.column(1).to_pylist(), places)], names=["doc_id", *carry, "n_words", "n_removed", "kept_text"])
+                    continue
                 n, gone, kept = [], [], []
                 for x, starts in zip(part.column(1), part.column(2), strict=True):
                     raw = x.as_py() or b""
@@ -161,10 +200,7 @@ def _cut_rows(docs: DataFrame, carry: list[str], layout: bool) -> DataFrame:
                     n.append(len(words))
                     cut = covered(len(words), starts.values.to_numpy(zero_copy_only=False).astype(np.int64)).tolist() if starts.is_valid else [False] * len(words)
                     gone.append(sum(cut))
-                    if layout:
-                        kept.append((without(raw, cut) if gone[-1] else raw).decode("utf-8"))
-                    else:
-                        kept.append(b" ".join([w for w, c in zip(words, cut, strict=True) if not c] if gone[-1] else words).decode("utf-8"))
+                    kept.append((without(raw, cut) if gone[-1] else raw).decode("utf-8"))
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[3:], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", *carry, "n_words", "n_removed", "kept_text"])
 
     carried = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
@@ -191,7 +227,7 @@ class FingerprintIndex:
         self.runs: list[Run] = []
 
     def _prints(self, rows: DataFrame, number: int) -> DataFrame:
-        return self.scratch.keep_sorted(rows, f"prints-{number}", "fp")
+        return self.scratch.keep_sorted(rows, f"prints-{number}", "fp", plain=["fp"])
 
     def compact(self) -> None:
         """Merges the runs of a level that is full; the merged runs are dropped once their successor is complete."""
@@ -202,7 +238,7 @@ class FingerprintIndex:
                 merged = merged.join(r.prints.select("fp", F.col("first").alias("a"), F.col("last").alias("b")), "fp", "full_outer").select("fp", F.least("first", "a").alias("first"), F.greatest("last", "b").alias("last"))
             self.written += 1
             prints = self._prints(merged, self.written)
-            windows = self.scratch.keep(reduce(DataFrame.unionAll, [r.windows for r in old]), f"windows-{self.written}")  # runs have no window in common
+            windows = self.scratch.keep(reduce(DataFrame.unionAll, [r.windows for r in old]), f"windows-{self.written}", plain=["hi", "lo"])  # runs have no window in common
             self.runs = [r for r in self.runs if r.level != full[0]] + [Run(full[0] + 1, self.written, prints, windows)]
             for r in old:
                 self.scratch.drop(f"prints-{r.number}", f"windows-{r.number}")
@@ -228,30 +264,32 @@ class FingerprintIndex:
         keep, drop = self.scratch.keep, self.scratch.drop
         self.written += 1
         k = self.written
-        postings = keep(_fingerprint_rows(batch.select("doc_id", "raw")), f"postings-{k}")
+        postings = keep(_fingerprint_rows(batch.select("doc_id", "raw")), f"postings-{k}", plain=["fp"])
         new = self._prints(postings.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), k)
-        met = keep(self._met(new), f"met-{k}")
-        wanted = postings.join(met, "fp", "left_semi").select("doc_id", "fp").unionAll(met.filter("opened is not null").select("opened", "fp"))
-        shared = wanted.groupBy("doc_id").agg(F.collect_set("fp").alias("shared"))
+        met = keep(self._met(new), f"met-{k}", plain=["fp"])
+        # Hash joins: the right sides have a row a key, so the larger left sides needn't be sorted.
+        wanted = postings.join(met.hint("shuffle_hash"), "fp", "left_semi").select("doc_id", "fp").unionAll(met.filter("opened is not null").select("opened", "fp"))
+        shared = wanted.groupBy("doc_id").agg(F.collect_list("fp").alias("shared"))
         # The shared fingerprints of an id may come from several texts; places are of one text each.
         texts = batch.select("doc_id", "raw", F.xxhash64("raw").alias("text_hash"))
         if history is not None and self.runs:
             texts = texts.unionAll(history.select("doc_id", "raw", F.lit(None).cast("long")))
-        places = keep(_window_rows(texts.join(shared, "doc_id").select("doc_id", "raw", "shared", "text_hash")), f"places-{k}")
+        places = keep(_window_rows(texts.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "raw", "shared", "text_hash")), f"places-{k}", plain=["hi", "lo"])
         drop(f"postings-{k}", f"met-{k}")
-        rows = places.select("hi", "lo", "doc_id", F.lit(True).alias("own"), F.lit(False).alias("known"))
+        rows = places.select("hi", "lo", "doc_id", F.lit(OWN).alias("marks"))
         for r in self.runs:
-            rows = rows.unionAll(r.windows.select("hi", "lo", "first", F.lit(False), F.lit(True)))
-        seen = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("own").alias("own"), F.max("known").alias("known"))
-        seen = keep(seen.filter("own and (first < last or not known)"), f"seen-{k}")
-        windows = keep(seen.filter("not known").select("hi", "lo", "first"), f"windows-{k}")
-        repeated = places.filter("text_hash is not null").join(seen.filter("first < last").select("hi", "lo", "first"), ["hi", "lo"]).filter("doc_id > first")
-        starts = keep(repeated.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("starts")), f"starts-{k}")
-        drop(f"places-{k}", f"seen-{k}")
+            rows = rows.unionAll(r.windows.select("hi", "lo", "first", F.lit(KNOWN)))
+        seen = rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bit_or("marks").alias("marks"))
+        # The run's new windows are those of this table that no run had before.
+        seen = keep(seen.filter((F.col("marks") != KNOWN) & ((F.col("first") < F.col("last")) | (F.col("marks") == OWN))), f"windows-{k}", plain=["hi", "lo"])
+        windows = seen.filter(F.col("marks") == OWN).select("hi", "lo", "first")
+        repeated = places.filter("text_hash is not null").join(seen.filter("first < last").select("hi", "lo", "first").hint("shuffle_hash"), ["hi", "lo"]).filter("doc_id > first")
+        starts = keep(repeated.groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("starts")), f"starts-{k}")
+        drop(f"places-{k}")
         self.runs.append(Run(0, k, new, windows))
         carry = [c for c in batch.columns if c not in ("doc_id", "raw")]
         found = starts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("starts").alias("_starts"))
-        cut = batch.join(found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("raw") == F.col("_hash")), "left")
+        cut = batch.join(found.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("raw") == F.col("_hash")), "left")
         return _cut_rows(cut.select("doc_id", "raw", "_starts", *carry), carry, layout)
 
     def close(self) -> None:

@@ -10,12 +10,14 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from test_llm import classes_by_hand, cut_by_hand, near_copies
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerline.llm import ann, bpe_codec, entry, neardup, packing, quality, sharding, substring, token_counts, toxicity, vocab, warc
+from ledgerline.llm import words as words_of
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LONG = "lorem ipsum dolor sit amet. " * 14_000  # 70,000 words
@@ -90,6 +92,33 @@ def test_quality(spark, odd):
     assert plan.count("array_distinct") == 1 and plan.count("xxhash64") == 3
 
 
+def test_fingerprints_of_a_block_in_arrays():
+    words = [f"w{i % 977}" for i in range(3000)]
+    texts = [" ".join(words).encode(), b"", None, b"\t x" + b"y" * 200_000 + b"\r\n" + "é z\u00a0".encode() + b" ", b" \n".join(w.encode() for w in words)]
+    block = substring.Block(texts)
+    assert block.sizes.tolist() == [len((x or b"").split()) for x in texts]
+    assert [bytes(block.bytes[a:b]) for a, b in zip(block.starts, block.ends, strict=True)] == [w for x in texts for w in (x or b"").split()]
+    assert [int(block.sizes[o] - 12) for o in np.unique(block.owner)] == [2988, 2988]
+    fp, digests = block.fingerprints(), block.digests(np.arange(len(block.at)))
+    assert (fp[:2988] == fp[2988:]).all() and (digests[:2988] == digests[2988:]).all() and len(np.unique(digests[:2988], axis=0)) == 977
+    assert [bytes(x) for x in digests[:2]] == [xxhash.xxh3_128_digest(" ".join(words[i : i + 13]).encode()) for i in range(2)]
+    every = words_of.hashes_at(block.bytes, block.starts)
+    assert len(np.unique(every)) == len({w for x in texts for w in (x or b"").split()}) and 100 < len(np.unique(fp)) < 977
+    assert fp.tolist()[:2988] == [int(words_of.runs(every[i : i + 13], 5).min()) for i in range(2988)]
+    # A block costs little more than to split its texts, at any speed of the machine.
+    texts = [" ".join(f"w{(i * i + k) % 9973}" for i in range(1500)).encode() for k in range(200)]
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: substring.Block(texts).fingerprints()) < 3.5 * least(lambda: [x.split() for x in texts])
+
+
 def test_substring(odd):
     found = rows_of(substring.dedup(odd, carry=["n_words", "score"]), "doc_id", "n_words", "n_removed", "kept_text")
     assert found == cut_by_hand(ROWS)
