@@ -32,6 +32,7 @@ BLOCK, QUERY_BLOCK = 16_384, 2_048
 PROJECTIONS, THRESHOLD, FACTOR, FIRST = 128, 100, 1.05, 0.5
 #: A block's candidates of a query: this many or this share of it, whichever is more.
 CANDIDATES, SHARE = 200, 0.1
+MARGIN = 1e-6
 
 
 def usable(vector: Column) -> Column:
@@ -49,28 +50,74 @@ class Lines:
         self.values = np.take_along_axis(values, self.order, axis=1)
 
     def candidates(self, queries: np.ndarray, wanted: int, threshold: int, factor: float, first: float):
-        """(query's place, places of its candidates) of each query, all queries' windows widened together."""
-        m, n = self.values.shape
+        """(query's place, places of its candidates) of each query, from its narrowest windows with so many candidates.
+
+        Windows are `first` wide to either side, widened by the factor. A few queries start with the narrowest
+        ones; the others start at these queries' median width and are widened or narrowed from there.
+        """
+        pilots = np.linspace(0, len(queries) - 1, min(len(queries), PILOTS)).astype(int)
         centres = (queries @ self.axes).T
-        counts = np.zeros((len(queries), n), np.int16)
-        low = high = np.array([v.searchsorted(c) for v, c in zip(self.values, centres, strict=True)])
-        active, half = np.arange(len(queries)), first
-        while len(active):
-            new_low, new_high = low.copy(), high.copy()
-            for i, v in enumerate(self.values):
-                new_low[i, active] = v.searchsorted(centres[i, active] - half)
-                new_high[i, active] = v.searchsorted(centres[i, active] + half, "right")
-            done = np.zeros(len(queries), bool)
-            for q in active.tolist():
-                ends = [self.order[i, a:b] for i in range(m) for a, b in ((new_low[i, q], low[i, q]), (high[i, q], new_high[i, q])) if a < b]
-                if ends:
-                    counts[q] += np.bincount(np.concatenate(ends), minlength=n).astype(np.int16)
-                found = np.flatnonzero(counts[q] >= threshold)
-                if len(found) >= min(wanted, n) or (new_low[:, q] == 0).all() and (new_high[:, q] == n).all():
-                    done[q] = True
-                    yield q, found
-            low, high = new_low, new_high
-            active, half = active[~done[active]], half * factor
+        halves, at, levels = [first], 0, []
+        for part in (pilots, np.setdiff1d(np.arange(len(queries)), pilots)):
+            for q, found, level in self._from(part, centres, at, halves, min(wanted, self.values.shape[1]), threshold, factor):
+                levels.append(level)
+                yield q, found
+            at = int(np.median(levels))
+
+    def _windows(self, centres: np.ndarray, half: float):
+        low = np.array([v.searchsorted(c - half) for v, c in zip(self.values, centres, strict=True)])
+        return low, np.array([v.searchsorted(c + half, "right") for v, c in zip(self.values, centres, strict=True)])
+
+    def _counts(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Collisions of one query's windows; of a window with most of a line, the rest of the line is counted."""
+        n = self.values.shape[1]
+        wide = 2 * (high - low) > n
+        inside = [o[a:b] for o, a, b in zip(self.order[~wide], low[~wide].tolist(), high[~wide].tolist(), strict=True)]
+        outside = [x for o, a, b in zip(self.order[wide], low[wide].tolist(), high[wide].tolist(), strict=True) for x in (o[:a], o[b:])]
+        return (wide.sum() + _times(inside, n) - _times(outside, n)).astype(np.int16)
+
+    def _from(self, part: np.ndarray, centres: np.ndarray, at: int, halves: list[float], enough: int, threshold: int, factor: float):
+        """(query's place, its candidates, the level of its windows): all queries of the part start at one level."""
+        n = self.values.shape[1]
+        low, high = self._windows(centres[:, part], _half(halves, at, factor))
+        counts = np.array([self._counts(low[:, k], high[:, k]) for k in range(len(part))]).reshape(len(part), n)
+        have = (counts >= threshold).sum(axis=1) >= enough
+        whole = (low == 0).all(axis=0) & (high == n).all(axis=0)
+        for step, active in ((1, np.flatnonzero(~have & ~whole)), (-1, np.flatnonzero(have | whole))):
+            level, l, h, own = at, low[:, active], high[:, active], counts[active]
+            while len(active):
+                if level + step < 0:  # no narrower windows
+                    yield from ((int(part[k]), np.flatnonzero(c >= threshold), level) for k, c in zip(active, own, strict=True))
+                    break
+                new_l, new_h = self._windows(centres[:, part[active]], _half(halves, level + step, factor))
+                on = np.zeros(len(active), bool)
+                for k in range(len(active)):
+                    (a, b), (c, d) = ((new_l, l), (h, new_h)) if step > 0 else ((l, new_l), (new_h, h))
+                    ends = [o[x:y] for lo, hi in ((a[:, k], b[:, k]), (c[:, k], d[:, k])) for o, x, y in zip(self.order, lo.tolist(), hi.tolist(), strict=True) if x < y]
+                    new = own[k] + (step * _times(ends, n)).astype(np.int16)
+                    full = (np.count_nonzero(new >= threshold) >= enough) or ((new_l[:, k] == 0).all() and (new_h[:, k] == n).all())
+                    if step > 0 and full:
+                        yield int(part[active[k]]), np.flatnonzero(new >= threshold), level + 1
+                    elif step < 0 and not full:
+                        yield int(part[active[k]]), np.flatnonzero(own[k] >= threshold), level
+                    else:
+                        own[k], on[k] = new, True
+                level, active, l, h, own = level + step, active[on], new_l[:, on], new_h[:, on], own[on]
+
+
+#: Queries of a part that look for the width at which the others start.
+PILOTS = 4
+
+
+def _half(halves: list[float], level: int, factor: float) -> float:
+    while len(halves) <= level:
+        halves.append(halves[-1] * factor)
+    return halves[level]
+
+
+def _times(places: list[np.ndarray], n: int) -> np.ndarray:
+    """How often each of n places is listed."""
+    return np.bincount(np.concatenate(places), minlength=n) if places else np.zeros(n, np.int64)
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -96,6 +143,9 @@ def nearest_in_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int, options:
                 if verified is not None:
                     verified.append((name, len(found)))
                 found = found[ids[found] != name]
+                if len(found) > k:  # a product of matrices, off by much less than the margin, finds those that can be among the k
+                    rough = vectors[found] @ x / (norms[found] * length)
+                    found = found[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - MARGIN]
                 cosine = (vectors[found] * x).sum(axis=1) / (norms[found] * length)
                 best = np.lexsort((ids[found], -cosine))[:k]
                 out += zip([name] * len(best), ids[found][best].tolist(), cosine[best].tolist(), strict=True)

@@ -237,6 +237,27 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.nearest(docs.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_candidates_by_hand_and_their_work(monkeypatch):
+    """The narrowest windows with enough candidates, as counted for each vector, without a count for each width."""
+    v = np.random.default_rng(3).standard_normal((3000, 16))
+    v[::7] = v[0]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    lines, asked = ann.Lines(v, 64), v[:60]
+    listed, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, **k: listed.append(len(x)) or count(x, **k))
+    for wanted, threshold, first in ((300, 50, 0.5), (300, 50, 9.0), (5000, 50, 0.5), (1, 64, 1e-9)):
+        listed.clear()
+        found = dict(lines.candidates(asked, wanted, threshold, 1.05, first))
+        assert sorted(found) == list(range(60))
+        if (wanted, first) == (300, 0.5):
+            assert sum(listed) < 0.5 * 60 * v.size * 64 / 16 and len(listed) < 12 * 60
+        for q, at in found.items():
+            half, (x, c) = first, ((v @ lines.axes), (asked @ lines.axes)[q])
+            while (hits := ((x >= c - half - 1e-12) & (x <= c + half + 1e-12)).sum(axis=1) >= threshold).sum() < min(wanted, len(v)):
+                half *= 1.05
+            assert at.tolist() == np.flatnonzero(hits).tolist()
+
+
 def test_neighbours_recall_and_share():
     """On one whole block of vectors without structure, the hardest case: recall of 5 and the share that is verified."""
     import pandas as pd
